@@ -9,6 +9,7 @@ temporary folder made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,12 +35,18 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cohortloom-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back: its lineage ends here."""
+    def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+        """Write ``df``, in a folder for each value of ``by``, and return it as read back: its lineage ends here."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").partitionBy(*by or ()).parquet(path)
+        self._tidy()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _tidy(self) -> None:
+        """Lets Spark's cleaner drop the shuffle files of what has been written: it acts when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

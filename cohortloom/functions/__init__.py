@@ -1 +1 @@
-
+"""Column expressions: text keys, laboratory measurements, statistics."""

@@ -70,5 +70,8 @@ def with_adapters(sql: str) -> str:
     import re
 
     named = [n for n in SQL if re.search(rf"\b{n}\b", sql)]
+    if not named:
+        return sql
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in named)
-    return sql if not named else f"WITH {head}, {sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {head} {sql}"
+    own = re.match(r"WITH( RECURSIVE)? ", sql)
+    return f"WITH{own[1] or ''} {head}, {sql[own.end():]}" if own else f"WITH {head} {sql}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Fixed coefficients of formula 7.1.26 in Abramowitz and Stegun; absolute error at most 1.5e-7.
@@ -19,12 +22,8 @@ def erfc(x: Column) -> Column:
 
 def exact_erfc(x: Column) -> Column:
     """The same to full precision, in batches through Arrow, where tiny p-values matter."""
-    import math
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def run(v: pd.Series) -> pd.Series:
         return v.map(math.erfc, na_action="ignore")
 

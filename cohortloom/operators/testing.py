@@ -18,17 +18,17 @@ def z_tests(df: DataFrame, group: str, mean: str, sd: str, n: str, kind: str, ex
     rows = df.na.drop(subset=[group, mean, sd, n, kind]).where((F.col(n) > 1) & (F.col(sd) > 0))
     rows = rows.withColumn("_v", F.col(sd) * F.col(sd) / F.col(n))
     w = F.col(n).cast("double")
-    rest = rows.where(F.col(kind) > 1).agg(F.sum(w).alias("w"), F.sum(w * F.col(mean)).alias("wx"), F.sum(w * w * F.col("_v")).alias("wwv")).where("w > 0")
-    rest = rest.select((F.col("wx") / F.col("w")).alias("rest_mean"), (F.col("wwv") / (F.col("w") * F.col("w"))).alias("rest_var"))
+    rest = rows.where(F.col(kind) > 1).agg(F.sum(w).alias("_w"), F.sum(w * F.col(mean)).alias("_wx"), F.sum(w * w * F.col("_v")).alias("_wwv")).where("_w > 0")
+    rest = rest.select((F.col("_wx") / F.col("_w")).alias("rest_mean"), (F.col("_wwv") / (F.col("_w") * F.col("_w"))).alias("rest_var"))
     targets = rows.where(F.col(kind) == 1)
-    m = targets.agg(F.count(F.lit(1)).alias("m"))
+    m = targets.agg(F.count(F.lit(1)).alias("_m"))
     out = targets.join(F.broadcast(rest)).join(F.broadcast(m))  # one row each
     diff, se = F.col(mean) - F.col("rest_mean"), F.sqrt(F.col("_v") + F.col("rest_var"))
     out = out.withColumn("difference", diff).withColumn("se", se)
     out = out.withColumn("z", F.when(F.col("se") > 0, F.col("difference") / F.col("se")))
     x = F.abs(F.col("z")) / F.sqrt(F.lit(2.0))
     out = out.withColumn("p", exact_erfc(x) if exact else erfc(x))
-    out = out.withColumn("p_bonferroni", F.least(F.col("p") * F.col("m"), F.lit(1.0)))
+    out = out.withColumn("p_bonferroni", F.least(F.col("p") * F.col("_m"), F.lit(1.0)))
     half = Z_CRITICAL * F.col("se")
     out = out.withColumn("ci_low", F.when(F.col("se") > 0, F.col("difference") - half)).withColumn("ci_high", F.when(F.col("se") > 0, F.col("difference") + half))
     return out.select(group, F.col(mean).alias("target_mean"), "rest_mean", "difference", F.sqrt("_v").alias("se_target"), "se", "z", "p", "p_bonferroni", "ci_low", "ci_high")

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,11 +41,25 @@ from .workspace import Workspace, input_bytes
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a block, and text for which one bucket is meant.
-BLOCK, BUCKET = 4 << 20, 14 << 20
+BLOCK, BUCKET = 2 << 20, 20 << 20
 NONE = 2**63 - 1
 _BLOCKS = "block bigint, ids binary, lens binary, data binary"
 
 
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _large(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _rows(batch) -> Iterator[dict]:  # noqa: ANN001
+    """Rows one at a time: each holds a block."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents by the block: ids, lengths and texts one after the other."""
 
@@ -55,7 +70,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         held = 0
 
         def full() -> pa.RecordBatch:
-            values = (np.array(ids, dtype=np.int64).tobytes(), np.array([len(t) for t in texts], dtype=np.int64).tobytes(), b"".join(texts))
+            values = (np.array(ids, dtype=np.int64).tobytes(), np.array([len(t) for t in texts], dtype=np.int64).tobytes(), _small(b"".join(texts)))
             return pa.RecordBatch.from_arrays([pa.array([number], type=pa.int64()), *(pa.array([v], type=pa.binary()) for v in values)], ["block", "ids", "lens", "data"])
 
         for b in batches:
@@ -93,12 +108,13 @@ class Segments:
             return
         base = 0x100000001B3
         power = lambda k: np.uint64(pow(base, k, 1 << 64))
-        h1 = raw.astype(np.uint64) + np.uint64(1)
-        h2 = h1[:-1] * power(1) + h1[1:]
-        h4 = h2[:-2] * power(2) + h2[2:]
-        h8 = h4[:-4] * power(4) + h4[4:]
-        h16 = h8[:-8] * power(8) + h8[8:]
-        h = _mixed(h16[: n - GRAM + 1] * power(8) + h8[16 : 16 + n - GRAM + 1])
+        h = raw.astype(np.uint64) + np.uint64(1)
+        for k in (1, 2, 4):
+            h = h[:-k] * power(k) + h[k:]
+        tail = h[16 : 16 + n - GRAM + 1].copy()  # eight bytes from the 17th on
+        h = h[:-8] * power(8) + h[8:]
+        h = _mixed(h[: n - GRAM + 1] * power(8) + tail)
+        del tail
         # Least hash of each window of grams, by doubling.
         window, wide = LENGTH - GRAM + 1, 1
         low = h
@@ -106,15 +122,14 @@ class Segments:
             low = np.minimum(low[: len(low) - wide], low[wide:])
             wide *= 2
         low = np.minimum(low[: len(h) - window + 1], low[window - wide : window - wide + len(h) - window + 1])
-        doc = np.repeat(np.arange(len(lens)), lens)[: len(low)]
-        inside = np.arange(len(low)) + LENGTH <= (starts + lens)[doc]
+        doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[: len(low)]
+        inside = np.arange(LENGTH, len(low) + LENGTH, dtype=np.int64) <= (starts + lens)[doc]
         new = np.ones(len(low), dtype=bool)
         new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(inside)
         # Strings inside a document are consecutive, so a run ends where the next begins or its document does.
         head = np.flatnonzero(inside & new)
         self.first = head
-        self.doc = doc[head]
+        self.doc = doc[head].astype(np.int64)
         if len(head):
             upto = np.append(head[1:], n)
             last = (starts + lens)[self.doc] - LENGTH
@@ -122,7 +137,6 @@ class Segments:
         else:
             self.count = head
         self.key = _mixed(low[head] + np.uint64(1))
-        del at
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Different keys in order, and whether each one is in more than one document of the block."""
@@ -152,8 +166,8 @@ def _bucketed(keys: np.ndarray, n: int) -> list[np.ndarray]:
 def _anchors(blocks: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                keys, more = Segments(_read(r["ids"], r["lens"])[1], r["data"]).anchors()
+            for r in _rows(b):
+                keys, more = Segments(_read(r["ids"], r["lens"])[1], _large(r["data"])).anchors()
                 parts = _bucketed(keys, n)
                 full = [k for k, p in enumerate(parts) if len(p)]
                 columns = [pa.array(full, type=pa.int32()), pa.array([r["block"]] * len(full), type=pa.int64()), pa.array([_packed(keys[parts[k]]) for k in full], type=pa.binary()), pa.array([np.packbits(more[parts[k]]).tobytes() for k in full], type=pa.binary())]
@@ -181,7 +195,7 @@ def _shared(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, mask binary")
 
 
-_PARTS = "kind int, block bigint, bucket int, ids binary, lens binary, data binary, x binary, y binary, z binary"
+_PARTS = "kind int, block bigint, bucket int, ids binary, lens binary, data binary"
 
 
 def _parts(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
@@ -192,9 +206,9 @@ def _parts(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
     def run(left, right):
         rows = []
         masks = {b: m for b, m in zip(right.column("bucket").to_pylist(), right.column("mask").to_pylist(), strict=True)}
-        for r in left.to_pylist():
+        for r in _rows(left.combine_chunks()):
             ids, lens = _read(r["ids"], r["lens"])
-            data = r["data"]
+            data = _large(r["data"])
             seg = Segments(lens, data)
             keys, _ = seg.anchors()
             hit = np.zeros(len(keys), dtype=bool)
@@ -209,11 +223,11 @@ def _parts(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
             done = np.flatnonzero(~touched)
             if len(done):
                 digests = b"".join(hashlib.sha256(data[starts[d] : starts[d] + lens[d]]).digest() for d in done.tolist())
-                rows.append((0, r["block"], -1, ids[done].tobytes(), lens[done].tobytes(), digests, None, None, None))
+                rows.append((0, r["block"], -1, ids[done].tobytes(), lens[done].tobytes(), digests))
             rest = np.flatnonzero(touched)
             if len(rest):
                 body = b"".join(data[starts[d] : starts[d] + lens[d]] for d in rest.tolist())
-                rows.append((1, r["block"], -1, ids[rest].tobytes(), lens[rest].tobytes(), body, None, None, None))
+                rows.append((1, r["block"], -1, ids[rest].tobytes(), lens[rest].tobytes(), _small(body)))
             renumbered = np.cumsum(touched) - 1
             bucket = ((seg.key[mine] >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -227,15 +241,15 @@ def _parts(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                     s = data[f : f + c + LENGTH - 1]
                     at = number.setdefault(s, len(owner))
                     if at == len(owner):
-                        owner.append(int(ids[d]))
+                        owner.append(d)
                         keys_of.append(key)
-                    elif ids[d] < owner[at]:
-                        owner[at] = int(ids[d])
+                    elif ids[d] < ids[owner[at]]:
+                        owner[at] = d
                     which[k] = at
-                strings = list(number)
-                where = np.stack([which.astype(np.int64), renumbered[seg.doc[part]], seg.first[part] - starts[seg.doc[part]], ids[seg.doc[part]]])
-                lengths = np.array([len(s) for s in strings], dtype=np.int32).tobytes()
-                rows.append((2, r["block"], int((keys_of[0] >> 16) % n), np.array(owner, dtype=np.int64).tobytes(), lengths, b"".join(strings), np.array(keys_of, dtype=np.uint64).tobytes(), where.tobytes(), None))
+                there, doc = np.unique(seg.doc[part], return_inverse=True)
+                numbers = [np.array([len(number), len(part), len(there)]), np.array([len(s) for s in number]), np.array(keys_of, dtype=np.uint64).astype(np.uint32).view(np.int32), np.searchsorted(there, owner), which, doc, seg.first[part] - starts[seg.doc[part]], renumbered[there]]
+                packed = np.concatenate([x.astype(np.int32) for x in numbers]).tobytes()
+                rows.append((2, r["block"], int((keys_of[0] >> 16) % n), ids[there].tobytes(), _small(packed), _small(b"".join(number))))
         return pa.Table.from_pydict({c: [row[k] for row in rows] for k, c in enumerate(names)}, schema=schema)
 
     return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, _PARTS)
@@ -248,25 +262,27 @@ def _removed(parts: DataFrame) -> DataFrame:
         merged: dict[bytes, int] = {}
         owner: list[int] = []
         keys: list[int] = []
-        local: list[np.ndarray] = []
-        for r in table.select(["ids", "lens", "data", "x"]).to_pylist():
-            own, lens = np.frombuffer(r["ids"], dtype=np.int64).tolist(), np.frombuffer(r["lens"], dtype=np.int32).tolist()
-            at, to = 0, []
-            for o, size, key in zip(own, lens, np.frombuffer(r["x"], dtype=np.uint64).tolist(), strict=True):
-                s = r["data"][at : at + size]
-                at += size
+        local: list[tuple[np.ndarray, ...]] = []
+        for r in _rows(table.select(["ids", "lens", "data"]).combine_chunks()):
+            ids, x = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(_large(r["lens"]), dtype=np.int32)
+            m, k, t = x[:3].tolist()
+            lens, key, by, which, doc, first, number = np.split(x[3:], np.cumsum([m, m, m, k, k, k]))
+            data, at, to = _large(r["data"]), 0, []
+            for o, length, name in zip(ids[by].tolist(), lens.tolist(), key.tolist(), strict=True):
+                s = data[at : at + length]
+                at += length
                 k = merged.setdefault(s, len(owner))
                 if k == len(owner):
                     owner.append(o)
-                    keys.append(key)
+                    keys.append(name)
                 elif o < owner[k]:
                     owner[k] = o
                 to.append(k)
-            local.append(np.array(to, dtype=np.int64))
+            local.append((np.array(to, dtype=np.int64)[which], number[doc].astype(np.int64), first.astype(np.int64), ids[doc]))
         own = np.array(owner, dtype=np.int64)
         size = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
         # Segments that stand alone under their anchor have nothing to be compared with.
-        _, back, count = np.unique(np.array(keys, dtype=np.uint64), return_inverse=True, return_counts=True)
+        _, back, count = np.unique(np.array(keys, dtype=np.int32), return_inverse=True, return_counts=True)
         several = np.flatnonzero(count[back] > 1)
         strings = list(merged)
         least, begin = least_of_repeats([strings[k] for k in several.tolist()], own[several], LENGTH)
@@ -274,10 +290,7 @@ def _removed(parts: DataFrame) -> DataFrame:
         start[several] = begin
         del strings, merged
         out = []
-        for to, where in zip(local, table.column("y"), strict=True):
-            w = np.frombuffer(where.as_buffer(), dtype=np.int64).reshape(4, -1)
-            seg = to[w[0]]
-            doc, first, ids = w[1], w[2], w[3]
+        for seg, doc, first, ids in local:
             whole = own[seg] < ids
             runs = [np.stack([doc[whole], first[whole], size[seg[whole]] - LENGTH + 1])]
             for k in np.flatnonzero(~whole & (start[seg] >= 0)).tolist():
@@ -286,7 +299,7 @@ def _removed(parts: DataFrame) -> DataFrame:
                 if gone.any():
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                     runs.append(np.stack([np.full(len(edge) // 2, doc[k]), first[k] + edge[::2], edge[1::2] - edge[::2]]))
-            out.append(np.concatenate(runs, axis=1).astype(np.int64).tobytes())
+            out.append(_small(np.concatenate(runs, axis=1).astype(np.int64).tobytes()))
         return pa.table({"block": table.column("block"), "runs": pa.array(out, type=pa.binary())})
 
     return parts.where("kind = 2").groupBy("bucket").applyInArrow(run, "block bigint, runs binary")
@@ -299,13 +312,13 @@ def _cut(parts: DataFrame, removed: DataFrame, with_kept: bool) -> DataFrame:
     """One row for each document that had candidates."""
 
     def run(left, right):
-        runs = [np.frombuffer(r.as_buffer(), dtype=np.int64).reshape(3, -1) for r in right.column("runs")]
+        runs = [np.frombuffer(_large(r.as_py()), dtype=np.int64).reshape(3, -1) for r in right.column("runs")]
         rows = []
         for r in left.select(["ids", "lens", "data"]).to_pylist():
             ids, lens = _read(r["ids"], r["lens"])
             doc, first, places = np.concatenate(runs, axis=1) if runs else np.zeros((3, 0), dtype=np.int64)
             begin = np.concatenate([[0], np.cumsum(lens)])
-            raw = np.frombuffer(r["data"], dtype=np.uint8)
+            raw = np.frombuffer(_large(r["data"]), dtype=np.uint8)
             edges = np.zeros(len(raw) + 1, dtype=np.int32)
             np.add.at(edges, begin[doc] + first, 1)
             np.add.at(edges, begin[doc] + first + places + LENGTH - 1, -1)

@@ -29,7 +29,7 @@ DEPTH, PACK, BITS = 56, 7, 9
 #: Symbols: 0 ends the text, 1 parts strings, then the bytes.
 END, PART, FIRST, SYMBOLS = 0, 1, 2, 258
 #: Bytes that a queue holds in memory, and from which an array is kept in a file.
-QUEUE_BYTES, ARRAY_BYTES = 64 << 20, 256 << 20
+QUEUE_BYTES, ARRAY_BYTES = 32 << 20, 16 << 20
 
 
 def array(n: int, dtype) -> np.ndarray:  # noqa: ANN001
@@ -101,7 +101,7 @@ def _kinds(text: np.ndarray) -> np.ndarray:
     same[:-1] = text[:-1] == text[1:]
     rise[-1], same[-1] = True, False
     # Within a run of equal symbols the type is that of its last one.
-    nxt = np.where(same, n, np.arange(n))
+    nxt = np.where(same, n, np.arange(n, dtype=np.int32 if n < 2**31 else np.int64))
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     return rise[nxt]
 
@@ -252,7 +252,6 @@ def least_of_repeats(strings: list[bytes], owner: np.ndarray, length: int, limit
     of their string ahead have a meaning.
     """
     text, starts = joined(strings)
-    lengths = np.diff(np.append(starts, len(text) - 1)) - 1
     group, least = array(len(text), np.int64), []
     n = 0
     for place, lcp in descending(text, limit):
@@ -267,8 +266,8 @@ def least_of_repeats(strings: list[bytes], owner: np.ndarray, length: int, limit
         if len(heads):
             least.append(np.minimum.reduceat(own, heads))
             n += len(heads)
-    del lengths
     table = np.concatenate(least) if least else np.zeros(0, dtype=np.int64)
-    out = array(len(text), np.int64)
-    out[:-1] = table[group[:-1]] if len(text) > 1 else 0
-    return out, starts
+    for at in range(0, len(group) - 1, 1 << 20):
+        part = slice(at, min(at + (1 << 20), len(group) - 1))
+        group[part] = table[group[part]]
+    return group, starts

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 UNIT, STRIDE, LEAST = 100, 50, 40
 #: One edit is allowed for so many characters.
 CHARS_PER_EDIT = 12
+GRAM = 5
 #: Characters of test items in a block.
 BLOCK = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -50,6 +51,15 @@ def units(item: str) -> list[str]:
     return [item[s : s + UNIT] for s in starts]
 
 
+def grams(unit: str) -> tuple[list[str], int]:
+    """The unit's stretches of ``GRAM`` characters, and how many of them survive as many edits as it may have.
+
+    An edit touches ``GRAM`` of them at most, so that a text with fewer can't hold the unit.
+    """
+    all_ = [unit[k : k + GRAM] for k in range(len(unit) - GRAM + 1)]
+    return all_, len(all_) - GRAM * budget(unit)
+
+
 def budget(unit: str) -> int:
     return len(unit) // CHARS_PER_EDIT
 
@@ -93,6 +103,7 @@ class Matcher:
         import ahocorasick
 
         self.units: list[tuple[object, str, dict[str, int], int]] = []
+        self.grams: list[tuple[list[str], int]] = []
         owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             for u in units(normal(text)):
@@ -102,6 +113,7 @@ class Matcher:
                 for at, p in pieces(u):
                     owners[p].append((len(self.units), at + len(p) - 1))
                 self.units.append((item_id, u, dict(masks), budget(u)))
+                self.grams.append(grams(u))
         self.automaton = ahocorasick.Automaton()
         for p, where in owners.items():
             self.automaton.add_word(p, where)
@@ -109,6 +121,11 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not owners
 
+    @staticmethod
+    def _shared(own: list[str], text: str) -> int:
+        there = {text[k : k + GRAM] for k in range(len(text) - GRAM + 1)}
+        return sum(map(there.__contains__, own))
+
     def __call__(self, text: str | None) -> dict[object, tuple[int, int, int]]:
         """For each item that is found: fewest edits of a unit, units found, where (normalised) the best one ends."""
         if self.empty or not text:
@@ -128,6 +145,11 @@ class Matcher:
                     runs[-1][1] = hi
                 else:
                     runs.append([lo, hi])
+            own, need = self.grams[u]
+            # Most hits are chance: what shares too few stretches is dropped before it is measured.
+            runs = [r for r in runs if self._shared(own, t[r[0] : r[1]]) >= need]
+            if not runs:
+                continue
             best = min(((*distance(unit, masks, t[lo:hi]), lo) for lo, hi in runs), key=lambda x: (x[0], x[2]))
             if best[0] <= k:
                 was = found.get(item_id, (k + 1, 0, 0))

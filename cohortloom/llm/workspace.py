@@ -9,12 +9,13 @@ temporary folder made.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, seen by the driver and by every executor."""
@@ -38,15 +39,15 @@ class Workspace:
     def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         """Write ``df``, in a folder for each value of ``by``, and return it as read back: its lineage ends here."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").partitionBy(*by or ()).parquet(path)
-        self._tidy()
+        # What was shuffled for this table isn't read again once the table is written.
+        was = self.spark.conf.get(_CLEAN_UP)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").partitionBy(*by or ()).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN_UP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _tidy(self) -> None:
-        """Lets Spark's cleaner drop the shuffle files of what has been written: it acts when the driver collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

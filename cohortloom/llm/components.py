@@ -32,9 +32,12 @@ def components(edges: DataFrame, space: Workspace, name: str = "components", rou
     """
     spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = space.save(e, f"{name}-0")
-    mark = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+    # Taken while the edges are written, the mark changes as long as they do.
+    mark_of = F.sum(F.hash("a", "b").cast("long"))
+    e, mark = space.save_counted(e, f"{name}-0", mark_of)
     for k in range(1, rounds + 1):
+        if not mark[0]:
+            break
         # Large star: link every greater neighbour of v, to the least vertex that v knows.
         low = _minima(e)
         big = e.select(F.col("a").alias("n"), F.col("b").alias("a")).join(low, "a").select(F.col("n").alias("a"), F.col("m").alias("b"))
@@ -43,10 +46,8 @@ def components(edges: DataFrame, space: Workspace, name: str = "components", rou
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        nxt = space.save(nxt, f"{name}-{k}")
+        e, now = space.save_counted(nxt, f"{name}-{k}", mark_of)
         space.drop(f"{name}-{k - 1}")
-        e = nxt
-        now = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == mark:
             break
         mark = now

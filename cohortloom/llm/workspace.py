@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -38,6 +38,16 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         """Write ``df``, in a folder for each value of ``by``, and return it as read back: its lineage ends here."""
+        return self._written(df, name, by)
+
+    def save_counted(self, df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, tuple]:
+        """The same, with aggregates over the rows that are taken while they are written."""
+        seen = Observation()
+        named = [c.alias(f"s{k}") for k, c in enumerate(sums)]
+        out = self._written(df.observe(seen, F.count(F.lit(1)).alias("n"), *named), name, None)
+        return out, tuple(seen.get[k] for k in ("n", *(f"s{k}" for k in range(len(sums)))))
+
+    def _written(self, df: DataFrame, name: str, by: list[str] | None) -> DataFrame:
         path = f"{self.root}/{name}"
         # What was shuffled for this table isn't read again once the table is written.
         was = self.spark.conf.get(_CLEAN_UP)
@@ -59,6 +69,4 @@ class Workspace:
 
 def input_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total size of a text column in bytes (one cheap scan)."""
-    from pyspark.sql import functions as F
-
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0])

@@ -61,3 +61,17 @@ def breakdown(df: DataFrame, category: str, column: str, first: str, second: str
     n = lambda v: F.sum((F.col(column) == v).cast("long"))
     out = rows.groupBy(category).agg(n(first).alias("n_first"), n(second).alias("n_second"), F.count(F.lit(1)).alias("n_all")).orderBy(F.desc("n_all"), category)
     return out if top is None else out.limit(top)
+
+
+def overall_ratio(df: DataFrame, column: str, first: str, second: str) -> DataFrame:
+    """The ratio of two classes over all rows, and its decimal logarithm."""
+    n = lambda v: F.coalesce(F.sum((F.col(column) == v).cast("long")), F.lit(0))
+    out = df.agg(n(first).alias("n_first"), n(second).alias("n_second"))
+    ratio = F.when(F.col("n_second") == 0, float("inf")).otherwise(F.try_divide("n_first", "n_second"))
+    return out.withColumn("ratio", ratio).withColumn("log10_ratio", F.log10("ratio"))
+
+
+def ends(ratios: DataFrame, order: str, ties: str, k: int = 10) -> DataFrame:
+    """The k largest and the k smallest by a column, marked as such."""
+    top = ratios.orderBy(F.desc(order), ties).limit(k).withColumn("end", F.lit("head"))
+    return top.unionByName(ratios.orderBy(F.col(order), F.desc(ties)).limit(k).withColumn("end", F.lit("tail")))

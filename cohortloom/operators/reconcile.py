@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.functions.text import base_accession, truthy
 
-#: Rows of the whole collection, and its terabytes, by which sizes are estimated; a quota in GiB.
+#: Rows of the whole collection, and its terabytes, by which sizes are estimated; a quota in GiB.
 COLLECTION_ROWS, COLLECTION_TB, QUOTA_GIB = 1_683_600, 14.7, 100
 #: A list of substrings is broadcast only up to so many bytes; a longer one is refused.
 STEM_BYTES = 32 << 20
@@ -105,3 +105,58 @@ def both_present(ids: DataFrame, id: str, first: DataFrame, second: DataFrame) -
     """Ids that lack one of two outputs, and so are still to be done."""
     done = first.select(id).distinct().join(second.select(id), id, "left_semi")
     return ids.join(done, id, "left_anti")
+
+
+def requested(df: DataFrame, columns: list[str], id: str) -> tuple[DataFrame, list[str]]:
+    """The requested columns that there are (at least the id), and those that there are not."""
+    there = [c for c in columns if c in df.columns]
+    return df.select(*[F.col(f"`{c}`") for c in there or [id]]), [c for c in columns if c not in df.columns]
+
+
+def constant_mapped(df: DataFrame, column: str, values: dict[str, str], name: str) -> DataFrame:
+    """Adds what a literal dictionary has for a column, null where it has nothing."""
+    if not values:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    pairs = F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv])
+    return df.withColumn(name, F.try_element_at(pairs, F.col(column)))
+
+
+def with_reference(df: DataFrame, reference: DataFrame, groups: list[str], column: str) -> DataFrame:
+    """Appends the same reference rows to each of some groups (a stated, short list)."""
+    rows = reference.drop(column).withColumn(column, F.explode(F.array(*map(F.lit, groups))))
+    return df.unionByName(rows.select(*df.columns))
+
+
+def distinct_in_order(df: DataFrame, column: str, order: str) -> DataFrame:
+    """Different values in the order in which they first appear."""
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("first")).orderBy("first", column)
+
+
+def ids_to_fetch(df: DataFrame, id: str, done: str, prefix: str, skip_done: bool = True, n: int = -1) -> tuple[DataFrame, DataFrame]:
+    """Ids with a prefix that are not done yet, and the rows left after each filter."""
+    from .cohort import funnel_counts
+
+    open_ = ~truthy(F.col(done)) if skip_done else F.lit(True)
+    counts = funnel_counts(df, [("all", None), ("not_done", open_), ("prefix", F.col(id).startswith(prefix))])
+    return limited(df.where(open_ & F.col(id).startswith(prefix)).select(id), n, id), counts
+
+
+def reconciled(df: DataFrame, id: str, present: DataFrame, flag: str, columns: list[str], prefix: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table with its flag set, rows present and absent, and the expected ids that are missing with some columns."""
+    out = flagged(df.drop(flag), id, present, flag)
+    counts = out.groupBy(flag).agg(F.count(F.lit(1)).alias("n"))
+    return out, counts, requested(missing(df, id, present, prefix), columns, id)[0]
+
+
+def file_list(df: DataFrame, id: str, files: DataFrame, suffix: str) -> tuple[DataFrame, DataFrame]:
+    """Paths of the files named ``<id><suffix>`` that exist, and the ids without one."""
+    from cohortloom.functions.text import basename
+
+    names = files.select("path", basename(F.col("path")).alias("_name"))
+    wanted = df.select(id).where(F.col(id).isNotNull()).distinct().withColumn("_name", F.concat(F.col(id).cast("string"), F.lit(suffix)))
+    return wanted.join(names, "_name").select(id, "path"), wanted.join(names, "_name", "left_anti").select(id)
+
+
+def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as text, with ``nan`` for nulls, as a writer of mixed columns leaves them."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns})

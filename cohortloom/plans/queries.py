@@ -564,3 +564,53 @@ def histogram_bins(t):  # noqa: ANN001, ANN201
   SELECT round((tp + n - fp) / (p + n), 6) AS accuracy, round(w / (p * n), 6) AS auroc, round(ap / p, 6) AS auprc, round(2 * tp / (2 * tp + fp + p - tp), 6) AS f1, CAST(p + n AS BIGINT) AS n FROM k, u""")
 def binary_metrics(t):  # noqa: ANN001, ANN201
     return metrics.binary_metrics(t("predictions"), "logit", "label").select(*r6("accuracy", "auroc", "auprc", "f1"), "n")
+
+
+# Smaller operators
+
+
+@query("SELECT sample, CASE country WHEN 'src1' THEN 'north' WHEN 'src2' THEN 'south' WHEN 'src3' THEN 'north' END AS region FROM sample_meta")
+def constant_map(t):  # noqa: ANN001, ANN201
+    return reconcile.constant_mapped(t("sample_meta"), "country", {"src1": "north", "src2": "south", "src3": "north"}, "region").select("sample", "region")
+
+
+@query("SELECT country, min(sample) AS first FROM sample_meta WHERE country IS NOT NULL GROUP BY 1")
+def distinct_in_order(t):  # noqa: ANN001, ANN201
+    return reconcile.distinct_in_order(t("sample_meta"), "country", "sample")
+
+
+@query("SELECT accession FROM expected_ids WHERE NOT coalesce(lower(done) IN ('true', '1', 'yes'), false) AND accession LIKE 'SAM%' ORDER BY accession LIMIT 40")
+def ids_to_fetch(t):  # noqa: ANN001, ANN201
+    return reconcile.ids_to_fetch(t("expected_ids"), "accession", "done", "SAM", n=40)[0]
+
+
+@query("SELECT unnest([0, 1, 2]) AS step, unnest(['all', 'not_done', 'prefix']) AS stage, unnest([count(*), count(*) FILTER (o), count(*) FILTER (o AND accession LIKE 'SAM%')]) AS n FROM (SELECT *, NOT coalesce(lower(done) IN ('true', '1', 'yes'), false) AS o FROM expected_ids)")
+def fetch_funnel(t):  # noqa: ANN001, ANN201
+    return reconcile.ids_to_fetch(t("expected_ids"), "accession", "done", "SAM")[1]
+
+
+@query("SELECT sample IN (SELECT sample FROM present_ids) AS present, count(*) AS n FROM expected_ids GROUP BY 1")
+def reconcile_counts(t):  # noqa: ANN001, ANN201
+    return reconcile.reconciled(t("expected_ids"), "sample", t("present_ids"), "present", ["sample", "segment"])[1]
+
+
+@query("SELECT e.sample, m.file AS path FROM (SELECT DISTINCT record AS sample FROM mapping UNION SELECT DISTINCT sample FROM expected_ids WHERE sample < 100) e JOIN mapping m ON m.file = concat('/f/', e.sample, '.parquet')")
+def file_list(t):  # noqa: ANN001, ANN201
+    ids = t("mapping").select(F.col("record").alias("sample")).union(t("expected_ids").select("sample").where("sample < 100"))
+    return reconcile.file_list(ids, "sample", t("mapping").select(F.col("file").alias("path")), ".parquet")[0]
+
+
+@query(f"SELECT n_first, n_second, round(n_first / n_second::DOUBLE, 6) AS ratio, round(log10(n_first / n_second::DOUBLE), 6) AS log10_ratio FROM (SELECT sum((category = '{S1}')::INT)::BIGINT AS n_first, sum((category = '{S2}')::INT)::BIGINT AS n_second FROM sample_meta)")
+def overall_ratio(t):  # noqa: ANN001, ANN201
+    return contingency.overall_ratio(t("sample_meta"), "category", S1, S2).select("n_first", "n_second", *r6("ratio", "log10_ratio"))
+
+
+@query("WITH c AS (SELECT country, count(*) AS n FROM sample_meta GROUP BY 1) SELECT * FROM (SELECT country, n, 'head' AS \"end\" FROM c ORDER BY n DESC, country LIMIT 3) UNION ALL SELECT * FROM (SELECT country, n, 'tail' AS \"end\" FROM c ORDER BY n, country DESC LIMIT 3)")
+def ratio_ends(t):  # noqa: ANN001, ANN201
+    return contingency.ends(t("sample_meta").groupBy("country").agg(F.count(F.lit(1)).alias("n")), "n", "country", 3)
+
+
+@query("SELECT sample, feature FROM presence WHERE feature IN (SELECT feature FROM presence GROUP BY 1 HAVING count(DISTINCT sample) < 10)")
+def rare_features(t):  # noqa: ANN001, ANN201
+    df = t("presence")
+    return df.join(pangenome.prevalent(df, "sample", "feature", 10).select("feature").distinct(), "feature", "left_anti").select("sample", "feature")

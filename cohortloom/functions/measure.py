@@ -25,13 +25,17 @@ def reject_reason(c: Column) -> Column:
     )
 
 
+#: The two parts of a readable measurement, as one pattern, which keeps expressions over them short.
+_READ = r"(?s)^\s*(>=|<=|==|>|<|=)\s+(\d*\.?\d+)(?:/\d+\S*)?(?:\s.*)?$"
+
+
 def operator(c: Column) -> Column:
-    return F.when(c.isNotNull() & reject_reason(c).isNull(), F.get(parts(c), F.lit(0)))
+    return F.nullif(F.regexp_extract(c, _READ, 1), F.lit(""))
 
 
 def number(c: Column) -> Column:
     """The number before any slash."""
-    return F.when(c.isNotNull() & reject_reason(c).isNull(), F.substring_index(F.get(parts(c), F.lit(1)), "/", 1).try_cast("double"))
+    return F.nullif(F.regexp_extract(c, _READ, 2), F.lit("")).try_cast("double")
 
 
 def log_value(value: Column, op: Column) -> Column:

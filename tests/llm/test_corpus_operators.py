@@ -262,6 +262,32 @@ def test_packing_plan_places_every_piece(histogram):
     assert all(sorted(r)[0][0] == 0 and all(x[1] == y[0] for x, y in zip(sorted(r), sorted(r)[1:], strict=False)) for r in ranks.values())
 
 
+def test_near_dedup_stage_equals_brute_force(spark, docs):
+    rng = random.Random(13)
+    bases = [words(rng, n) for n in (3, 12, 40, 120, 400)]
+    texts = [" ".join(b) for b in bases]
+    for b in bases:
+        for edits in (0, 1, 1, 2, 3, 4, 6, 9):
+            w = list(b)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+            texts.append(" ".join(w).upper())
+    texts += [" ".join(words(rng, 90)) for _ in range(20)] + EDGES[:3]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected = sorted(set(roots(pairs, range(len(texts))).values()))
+    table = docs(texts)
+    out = corpus_pipeline.near_dedup(spark, table, "")
+    assert out.columns == table.columns
+    assert sorted(r.doc_id for r in out.collect()) == expected
+    assert corpus_pipeline.near_dedup(spark, docs([]), "").count() == 0
+    odd = [(1, texts[3]), (1, texts[3]), (None, texts[3]), (None, "alone in the world as it is")]
+    assert sorted((r.doc_id is None, r.text) for r in corpus_pipeline.near_dedup(spark, docs(odd), "").select("doc_id", "text").collect()) == sorted((r.doc_id is None, r.text) for r in simhash.near_dedup(docs(odd)).select("doc_id", "text").collect())
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     rng = random.Random(12)
     clean = [" ".join(w + ("." if k % 9 == 8 else "") for k, w in enumerate(words(rng, 60))) for _ in range(50)]

@@ -2,8 +2,9 @@
 
 Text is compared as its letters and digits, lower case, words parted by one
 space. Each test item is covered by units: the whole item if it is short, else
-overlapping stretches of ``UNIT`` characters, so that a passage of an item is
-found as well. A unit with an error budget of k edits is split into k + 1
+overlapping stretches of ``UNIT`` characters, and in any case stretches of
+``SHORT`` characters so dense that every passage of ``SHORT + STEP - 1``
+characters (59) of an item holds one of them whole. A unit with an error budget of k edits is split into k + 1
 pieces: wherever a text holds the unit with at most k edits, one piece at least
 stands there unchanged. One automaton finds all pieces of all units in one pass
 over a text; around each hit Myers' bit-parallel recurrence decides, exactly,
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 UNIT, STRIDE, LEAST = 100, 50, 40
+#: Short units start at every STEP characters. Their pieces are STEP long as well, so that neighbours share them.
+SHORT, STEP = 50, 10
 #: One edit is allowed for so many characters.
 CHARS_PER_EDIT = 12
 GRAM = 5
@@ -46,9 +49,11 @@ def units(item: str) -> list[str]:
     if len(item) < LEAST:
         return []
     if len(item) < UNIT + STRIDE:
-        return [item]
-    starts = [*range(0, len(item) - UNIT, STRIDE), len(item) - UNIT]
-    return [item[s : s + UNIT] for s in starts]
+        long = [item]
+    else:
+        long = [item[k : k + UNIT] for k in (*range(0, len(item) - UNIT, STRIDE), len(item) - UNIT)]
+    short = [item[k : k + SHORT] for k in (*range(0, len(item) - SHORT, STEP), len(item) - SHORT)] if len(item) >= SHORT else []
+    return list(dict.fromkeys(long + short))
 
 
 def grams(unit: str) -> tuple[list[str], int]:

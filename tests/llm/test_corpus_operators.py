@@ -215,6 +215,22 @@ def test_matcher_equals_brute_force():
         assert bool(matcher(text)) == brute
 
 
+def test_matcher_finds_passages_at_all_offsets():
+    rng = random.Random(14)
+    for n in (16, 22, 60):
+        item = decontam.normal(" ".join(words(rng, n)))
+        matcher = decontam.Matcher([(1, item)])
+        filler = decontam.normal(" ".join(words(rng, 30, 90)))
+        assert not matcher(filler)
+        for at in range(len(item) - 58):
+            passage = item[at : at + 59]
+            assert matcher(f"{filler} {passage} {filler}")
+            edited = list(passage)
+            for k in rng.sample(range(59), 4):
+                edited[k] = "z"
+            assert matcher(f"{filler} {''.join(edited)} {filler}")
+
+
 def test_packing(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

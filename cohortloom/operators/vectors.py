@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -54,35 +56,36 @@ def wide(df: DataFrame, key: str, embedding: str, dims: int) -> DataFrame:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, id: str, embedding: str, k: int, limit: int = 20_000) -> DataFrame:
-    """The k vectors of largest cosine similarity for each of a stated, bounded set of queries (others than itself).
+    """The k vectors of largest cosine similarity for each of the queries (others than itself).
 
-    The queries are checked against ``limit`` and sent to all tasks; each holds its block
-    of vectors against all of them, and keeps its own best k before the shuffle.
+    The queries are handed out in blocks of at most ``limit``; each task holds its batch of
+    vectors against a whole block, and keeps its own best k before the shuffle.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select(id, embedding).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} queries")
-    if not rows:
-        return queries.sparkSession.createDataFrame([], f"query {dict(vectors.dtypes)[id]}, {id} {dict(vectors.dtypes)[id]}, cosine double")
-    ids = np.array([r[0] for r in rows])
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    q = unit(np.array([r[1] for r in rows], dtype=np.float64))
-
-    def run(batches):
-        for b in batches:
-            own = b.column(0).to_numpy()
-            s = q @ unit(np.array(b.column(1).to_pylist(), dtype=np.float64)).T
-            s[ids[:, None] == own[None, :]] = -np.inf
-            n = min(k, s.shape[1])
-            best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            value = np.take_along_axis(s, best, axis=1)
-            keep = np.isfinite(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[keep.ravel()]), pa.array(own[best][keep]), pa.array(value[keep])], ["query", id, "cosine"])
-
     kind = dict(vectors.dtypes)[id]
-    best = vectors.select(id, embedding).mapInArrow(run, f"query {kind}, {id} {kind}, cosine double")
+    schema, best = f"query {kind}, {id} {kind}, cosine double", None
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+    rows = queries.select(id, embedding).toLocalIterator()
+    while block := list(islice(rows, limit)):
+        ids = np.array([r[0] for r in block])
+        q = unit(np.array([r[1] for r in block], dtype=np.float64))
+
+        def run(batches, ids=ids, q=q):
+            for b in batches:
+                own = b.column(0).to_numpy()
+                s = q @ unit(np.array(b.column(1).to_pylist(), dtype=np.float64)).T
+                s[ids[:, None] == own[None, :]] = -np.inf
+                n = min(k, s.shape[1])
+                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                value = np.take_along_axis(s, best, axis=1)
+                keep = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[keep.ravel()]), pa.array(own[best][keep]), pa.array(value[keep])], ["query", id, "cosine"])
+
+        part = vectors.select(id, embedding).mapInArrow(run, schema)
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        return queries.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), id)
     return best.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")

@@ -219,3 +219,17 @@ def test_binary_metrics(spark):
 def test_histogram_closes_its_last_bin(spark):
     df = frame(spark, [(0.0,), (0.5,), (2.0,), (2.1,), (-0.1,)], "x double")
     assert [r[0] for r in df.select(stats.histogram_bin(F.col("x"), 0.0, 0.5, 4)).collect()] == [0, 1, 3, None, None]
+
+
+def test_nearest_beyond_one_block_of_queries(spark):
+    import numpy as np
+
+    from cohortloom.operators import vectors
+
+    m = np.random.default_rng(3).normal(size=(40, 6))
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "gene bigint, embedding array<double>")
+    got = {(r["query"], r.gene) for r in vectors.nearest(df.where("gene < 23"), df, "gene", "embedding", 3, limit=7).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert got == {(i, int(j)) for i in range(23) for j in np.argsort(-s[i])[:3]}

@@ -166,6 +166,24 @@ def test_line_dedup_of_a_dense_group(spark, docs):
     assert got == set(expected.values())
 
 
+def test_line_dedup_keeps_unlike_lines_of_long_words(spark, docs):
+    han = "数据清洗之前必须先检查所有的字段"
+    lines = [
+        "https://www.example.com/a/report-2021.pdf", "https://www.other.org/xyz?id=9",
+        f"{han}然后才能进行下一步的统计分析工作", f"{han}否则结果会受到重复记录的严重影响",
+        "𝄞" * 12 + "abcdefghijklmnop", "𝄞" * 12 + "qrstuvwxyzabcdef", "x y z " + "q" * 13, "x y z " + "q" * 13,
+    ]
+    import re
+
+    sets = [{x[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)\S|\S(?=\S{11})", x)} for x in lines]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert pairs == [(7, 6)]
+    assert {r.doc_id for r in line_dedup.line_report(docs(lines)).collect() if r.n_removed} == {7}
+    for x in lines:
+        shingled = spark.createDataFrame([(x,)], "line string").select(line_dedup._shingles("line").alias("s")).first().s
+        assert set(shingled) == {x[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)\S|\S(?=\S{11})", x)}
+
+
 def semi_global(unit, text):
     p, best = list(range(len(unit) + 1)), len(unit)
     for c in text:

@@ -32,7 +32,7 @@ def components(edges: DataFrame, space: Workspace, name: str = "components", rou
     """
     spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    # Taken while the edges are written, the mark changes as long as they do.
+    # Taken while the edges are written, an unchanged mark is a hint; the edges themselves are compared then.
     mark_of = F.sum(F.hash("a", "b").cast("long"))
     e, mark = space.save_counted(e, f"{name}-0", mark_of)
     for k in range(1, rounds + 1):
@@ -46,9 +46,11 @@ def components(edges: DataFrame, space: Workspace, name: str = "components", rou
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        before = e
         e, now = space.save_counted(nxt, f"{name}-{k}", mark_of)
+        settled = now == mark and e.join(before, ["a", "b"], "left_anti").isEmpty()
         space.drop(f"{name}-{k - 1}")
-        if now == mark:
+        if settled:
             break
         mark = now
     else:

@@ -5,16 +5,24 @@ a long lineage, writes it as Parquet below ``spark.checkpoint.dir``: unlike a
 local checkpoint, such a table survives the loss of any executor. The setting
 is read from the session; only where it is unset (tests on one machine) is a
 temporary folder made.
+
+An operator drops a table once nothing reads it any more; what its result still
+reads stays until the caller, having written or collected the result, calls
+``release``.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_WRITING: dict[str, object] = {"n": 0, "was": None}
+_SPACES: list[Workspace] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +43,7 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cohortloom-{uuid.uuid4().hex}"
+        _SPACES.append(self)
 
     def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         """Write ``df``, in a folder for each value of ``by``, and return it as read back: its lineage ends here."""
@@ -50,21 +59,54 @@ class Workspace:
     def _written(self, df: DataFrame, name: str, by: list[str] | None) -> DataFrame:
         path = f"{self.root}/{name}"
         # What was shuffled for this table isn't read again once the table is written.
-        was = self.spark.conf.get(_CLEAN_UP)
-        self.spark.conf.set(_CLEAN_UP, "true")
+        # The setting is the session's: the last of several threads that write puts it back.
+        with _LOCK:
+            if not _WRITING["n"]:
+                _WRITING["was"] = self.spark.conf.get(_CLEAN_UP)
+                self.spark.conf.set(_CLEAN_UP, "true")
+            _WRITING["n"] += 1
         try:
             df.write.mode("overwrite").partitionBy(*by or ()).parquet(path)
         finally:
-            self.spark.conf.set(_CLEAN_UP, was)
+            with _LOCK:
+                _WRITING["n"] -= 1
+                if not _WRITING["n"]:
+                    self.spark.conf.set(_CLEAN_UP, _WRITING["was"])
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        """Delete all tables of this run."""
+        self._delete(self.root)
+        if self in _SPACES:
+            _SPACES.remove(self)
+
+
+def release(*but: Workspace) -> None:
+    """Delete the tables of all operators called so far, except these; their results can't be read after that."""
+    for space in [s for s in _SPACES if s not in but]:
+        space.close()
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def input_bytes(docs: DataFrame, column: str = "text") -> int:

@@ -11,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
 from cohortloom.llm import components, decontam, line_dedup, packing, simhash, suffix_dedup, suffix_sort
+from cohortloom.llm.linking import Linker
 from cohortloom.llm.workspace import Workspace
 
 EDGES = [None, "", " \n\t", "a", "b", "word " * 9000]
@@ -147,41 +148,82 @@ def test_line_dedup(spark, docs):
     assert line_dedup.line_report(docs([])).count() == 0
 
 
+def shingled(line, width=8):
+    """The character shingles of a line at every place, by definition."""
+    return {line[k : k + width] for k in range(max(1, len(line) - width + 1))}
+
+
+def similar_pairs(sets, least=0.8):
+    return [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+
+
 def test_line_dedup_of_a_dense_group(spark, docs):
     rng = random.Random(8)
-    base = words(rng, 40)
+    base = words(rng, 60)
     lines = []
-    for _ in range(60):
+    for _ in range(90):
         w = list(base)
         for _ in range(rng.randint(0, 6)):
-            w[rng.randrange(40)] = rng.choice(["p", "q", "r"])
+            w[rng.randrange(60)] = rng.choice(["p", "q", "r"])
         lines.append(" ".join(w))
     lines = list(dict.fromkeys(lines))
-    import re
-
-    sets = [{x[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)\S", x)} for x in lines]
-    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    expected = roots(pairs, range(len(lines)))
-    got = {r.doc_id for r in line_dedup.line_report(docs(lines)).collect() if r.n_removed == 0}
-    assert got == set(expected.values())
+    expected = roots(similar_pairs([shingled(x) for x in lines]), range(len(lines)))
+    assert 1 < len(set(expected.values())) < len(lines) - 20
+    got = {r.doc_id for r in line_dedup.line_report(docs(lines)).collect() if r.n_removed}
+    wanted = {k for k, r in expected.items() if k != r}
+    assert got <= wanted and len(got) >= 0.95 * len(wanted)
+
+
+def test_linking_finds_every_link_of_a_band(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    sets, base = [], list(range(1000, 1100))
+    for k in range(220):
+        s = set(base)
+        for _ in range(rng.choice([4, 9, 10, 11, 12, 13])):
+            s.discard(rng.choice(base))
+            s.add(rng.randrange(5000, 5400) if k % 2 else 10_000 + 50 * k + rng.randrange(50))
+        sets.append({x * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for x in s})
+    expected = roots(similar_pairs(sets), range(len(sets)))
+    assert 20 < len(set(expected.values())) < 200
+    table = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "id bigint, held array<bigint>")
+    for rounds in (1, 2):
+        linker = Linker(Workspace(spark), lambda ids: table.join(ids, "id", "left_semi"), lambda h: h.select("id", F.explode("held").alias("x")), lambda c: c, 0.8)
+        found = {r.id: r.component for r in linker(table.select("id", F.array(F.lit(1)).alias("keys")), rounds).collect()}
+        assert {k: found.get(k, k) for k in range(len(sets))} == expected
+
+
+def test_line_dedup_recall(spark, docs):
+    """Of similar pairs of unlike lengths and kinds nearly all end in one component; no others do."""
+    rng = random.Random(16)
+    lines = []
+    for k in range(400):
+        line = " ".join(words(rng, rng.choice([3, 6, 12, 25, 60])))
+        at = rng.randrange(len(line))
+        lines += [line, line[:at] + rng.choice(["", "x", " new", "0"]) + line[at + rng.randrange(3) :]]
+    lines = list(dict.fromkeys(lines))
+    pairs = similar_pairs([shingled(x) for x in lines])
+    gone = {r.doc_id for r in line_dedup.line_report(docs(lines)).collect() if r.n_removed}
+    wanted = {k for k, r in roots(pairs, range(len(lines))).items() if k != r}
+    assert len(wanted) > 150 and gone <= wanted and len(gone) >= 0.95 * len(wanted)
 
 
-def test_line_dedup_keeps_unlike_lines_of_long_words(spark, docs):
+def test_line_dedup_keeps_unlike_lines_without_spaces(spark, docs):
     han = "数据清洗之前必须先检查所有的字段"
     lines = [
-        "https://www.example.com/a/report-2021.pdf", "https://www.other.org/xyz?id=9",
-        f"{han}然后才能进行下一步的统计分析工作", f"{han}否则结果会受到重复记录的严重影响",
-        "𝄞" * 12 + "abcdefghijklmnop", "𝄞" * 12 + "qrstuvwxyzabcdef", "x y z " + "q" * 13, "x y z " + "q" * 13,
+        "https://www.example.com/a/report-2021.pdf", "https://www.other.org/xyz?id=9", "https://example.com/alpha/report-2021", "https://example.com/omega/totally-different",
+        f"{han}然后才能进行下一步的统计分析工作", f"{han}否则结果会受到重复记录的严重影响", "QUJDREVGR0hJSktMTU5PUFFSU1RVVg==", "QUJDREVGR0hJSktMenl4d3Z1dHNycXA=",
+        "𝄞" * 12 + "abcdefghijklmnop", "𝄞" * 12 + "qrstuvwxyzabcdef", "-" * 40, "-" * 57, "x y z " + "q" * 13,
     ]
-    import re
+    assert similar_pairs([shingled(x) for x in lines]) == [(11, 10)]
+    assert {r.doc_id for r in line_dedup.line_report(docs(lines)).collect() if r.n_removed} == {11}
 
-    sets = [{x[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)\S|\S(?=\S{11})", x)} for x in lines]
-    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert pairs == [(7, 6)]
-    assert {r.doc_id for r in line_dedup.line_report(docs(lines)).collect() if r.n_removed} == {7}
-    for x in lines:
-        shingled = spark.createDataFrame([(x,)], "line string").select(line_dedup._shingles("line").alias("s")).first().s
-        assert set(shingled) == {x[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)\S|\S(?=\S{11})", x)}
+
+def test_line_dedup_of_rows_that_share_an_id(spark, docs):
+    rows = [(1, "same line here\nfirst text"), (2, "same line here\nother"), (2, "alone\nsame line here"), (None, "no id one\nsame line here"), (None, "not a copy\nno id two")]
+    out = sorted((r.doc_id is None, r.text) for r in line_dedup.line_dedup(docs(rows)).collect())
+    assert out == [(False, "alone"), (False, "other"), (False, "same line here\nfirst text"), (True, "no id one"), (True, "not a copy\nno id two")]
 
 
 def semi_global(unit, text):

@@ -22,6 +22,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,8 +34,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ with 16 or more
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-F]{2}|[0-9a-f]{2}){20,}(?![0-9A-Za-z])")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+# Possessive, so that no run is tried in more than one way.
+_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:(?:[0-9A-F]{2}){20,}+|(?:[0-9a-f]{2}){20,}+)(?![0-9A-Za-z])")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.[A-Za-z0-9_-]*+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([^-]*)-----END \1-----")
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -160,7 +162,8 @@ def confirmed_spans(text: str) -> list[Span]:
     for pattern, decode in ((_RUN, decoded), (_ANY_HEX, bytes.fromhex)):
         for m in pattern.finditer(text):
             kind = _kind(decode(m[0]))
-            if kind is not None and not any(a <= m.start() and m.end() <= b for a, b in inside):
+            block = bisect_right(inside, (m.start(), len(text))) - 1
+            if kind is not None and not (block >= 0 and m.end() <= inside[block][1]):
                 out.add((m.start(), kind, m.end()))
     return sorted(out)
 

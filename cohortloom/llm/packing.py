@@ -14,7 +14,8 @@ table bounded by lengths times slices, give the start of each.
 
 Tokens: a text is cut at single spaces, where the tokenizer also cuts; parts
 seen before come from a bounded cache. Texts with white space beside a space,
-where this would differ, are handed over whole.
+where this would differ, are handed over whole, and those that hold one of the
+tokenizer's added tokens, such as ``<|endoftext|>``, go to the tokenizer itself.
 
 Defined results: a null or empty text is one piece that holds the final id
 alone; ties are ordered by (doc_id, start); repeated rows are packed as often
@@ -24,6 +25,7 @@ as they occur; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -46,13 +48,17 @@ _BESIDE = re.compile(r"[^\S\n]\s|\s[^\S\n]|\A\s|\s\Z")
 class Tokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes; one for each worker process."""
 
-    def __init__(self, vocabulary: str | None = None):
+    def __init__(self, vocabulary: str | None = None, tokenizer: str | None = None):
         import public_tokenizers as P
         import tiktoken
 
-        path = vocabulary or P.path("byte_bpe_50k.tiktoken")
+        path, self.file = vocabulary or P.path("byte_bpe_50k.tiktoken"), tokenizer or P.path("byte_bpe_50k.json")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(self.file, encoding="utf-8") as f:
+            added = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.tokenizer = None
         self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
 
@@ -67,7 +73,16 @@ class Tokens:
             self.cache[part] = ids
         return ids
 
+    def _by_tokenizer(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.file)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
+        if self.added.search(text):
+            return self._by_tokenizer(text)
         if _BESIDE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
@@ -75,11 +90,11 @@ class Tokens:
         return b"".join([self._whole(first), *[get(p) or self._part(p) for p in rest]])
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """(``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``) for each piece of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens(vocabulary), np.array([END], dtype="<u4").tobytes()
+        tokens, end = Tokens(vocabulary, tokenizer), np.array([END], dtype="<u4").tobytes()
         for b in batches:
             row, start, size, crc, total = [], [], [], [], []
             for k, x in enumerate(b.column(1)):
@@ -156,11 +171,11 @@ def places(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tupl
     return out
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Each piece with its sequence (``sequence_id``) and its place there (``offset``)."""
     spark = docs.sparkSession
     space = Workspace(spark)
-    cut = space.save(pieces(docs, length, vocabulary), "pieces")
+    cut = space.save(pieces(docs, length, vocabulary, tokenizer), "pieces")
     n = cut.count()
     slices = max(8, min(SLICES, n // SLICE))
     cut = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(slices)).cast("int"))

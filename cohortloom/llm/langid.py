@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
-#: Bound of the sample that the network is fitted on: windows, one or two from each document.
+#: Bound of the sample that the network is fitted on: windows, one from each document.
 SAMPLE = 6000
 FOLDS, HELD_OUT = 5, 0
 _REACH = WINDOW + max(WIDTHS) - 1
@@ -143,11 +143,20 @@ def _fold(docs: DataFrame, folds: int) -> F.Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Network | None:
-    """Fits a network on at most ``sample`` windows of documents with a language that are not held out."""
+    """Fits a network on at most ``sample`` windows of documents with a language that are not held out.
+
+    A threshold on a hash, set after the documents have been counted, chooses them, so that
+    the driver gets about as many rows as it uses, whatever the number of partitions.
+    """
+    known = docs.where(F.col("lang").isNotNull() & (_fold(docs, folds) != held_out))
+    n = known.select("doc_id", "lang").count()
+    if not n:
+        return None
     raw = F.encode("text", "UTF-8")
     place = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.octet_length("text").cast("long") / WINDOW).cast("long")) * WINDOW + 1).cast("int")
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold(docs, folds) != held_out))
-    rows = rows.select("doc_id", "lang", F.substring(raw, place, F.lit(_REACH)).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
+    share = min(1 << 40, int(1.1 * sample / n * (1 << 40)) + 1)
+    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share).where("text is not null")
+    rows = rows.select("doc_id", "lang", F.substring(raw, place, F.lit(_REACH)).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id", "x", "lang").limit(sample).collect()
     rows = [r for r in rows if r["x"]]
     if not rows:
         return None

@@ -31,13 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Bound of the sample that lexicon and scores are fitted on, in documents.
-SAMPLE = 5000
+#: Bounds of the sample that lexicon and scores are fitted on: documents, and bytes of each (longer ones are left out).
+SAMPLE, LONGEST = 5000, 1 << 15
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Documents of the sample in which a term must stand, and how much likelier it must be in toxic ones.
 LEAST, LIFT, STEM = 6, 25.0, (4, 8)
 CONTEXT, CACHE, STATES = 6, 200_000, 200_000
-_TOKEN = re.compile(r"[^\W\d_]+")
+#: Terms of so many letters may differ in the first one.
+FREE = 7
+#: Words, with digits and with the signs that stand for letters between others.
+_TOKEN = re.compile(r"[^\W_]+(?:[@$!*+|][^\W_]+)*")
+_PART, _LETTER = re.compile(r"[^\W_]+"), re.compile(r"[^\W\d_]")
 _QUOTES = "\"'`“”„‘’«»‹›"
 #: Words that speak about a word or report speech.
 ABOUT = frozenset("word words term terms called calls calling said says quote quoted quotes insult insults slur slurs spelled means meaning".split())
@@ -117,8 +121,8 @@ class Automaton:
         found = [(e, *self.word[n]) for n, e in state if self.word[n] and e <= edits(self.word[n][0])]
         if found:
             e, term, weight = min(found, key=lambda x: (x[0], -x[2], x[1]))
-            # A misspelling keeps the first letter, or it would too often be another word.
-            if e == 0 or token[0] == term[0]:
+            # A misspelling of a short term keeps the first letter, or it would too often be another word.
+            if e == 0 or token[0] == term[0] or (e == 1 and len(term) >= FREE):
                 return term, weight, e
         return stem
 
@@ -187,9 +191,14 @@ class Scorer:
         self.cache: dict[str, tuple[str, float, int] | None] = {}
 
     def _match(self, token: str) -> tuple[str, float, int] | None:
-        found = self.automaton.match(token)
-        if found and found[2] and token in self.lexicon.harmless:
-            found = None
+        found = None
+        if _LETTER.search(token):
+            # Where the whole says nothing, signs may part words after all.
+            for part in dict.fromkeys([token, *_PART.findall(token)]):
+                found = self.automaton.match(part)
+                if found and not (found[2] and part in self.lexicon.harmless):
+                    break
+                found = None
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[token] = found
@@ -253,8 +262,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer |
     """Fits on at most ``sample`` labelled documents that are not held out, chosen by a hash."""
     known = labels.where("toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The sample is chosen before texts are fetched: it is small enough to be sent to every reader of texts.
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").collect()
+    share = min(1 << 40, int(1.1 * sample / max(1, known.count()) * (1 << 40)) + 1)
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
     if not rows:
         return None
     rows = [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]

@@ -7,11 +7,14 @@ increasing subsequence of anchors is kept, and each gap between two anchors is
 aligned in the same way; a gap without anchors gives its equal ends. Coverage
 is the share of the template's words that are aligned.
 
+A cover may hold foreign words, up to half of the template's length; what
+surrounds it makes no difference, since windows of one size are aligned
+throughout a text.
+
 Defined results: null and empty texts hold no license; a text may hold several,
 one row for each stretch and the template that covers it best (ties: the longer
 one, then its name); repeated rows get equal results; an empty table gives no
-rows. Stretches are found in one pass over a text, and each is a few template
-lengths long at most, or a merger of such.
+rows; other columns may have any name. Work on a text is linear in its length.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ from pyspark.sql import DataFrame
 COVER = 0.8
 _WORD = re.compile(r"[a-z0-9]+")
 
-#: Notices and opening paragraphs of well-known licenses.
+#: Notices, opening paragraphs and short whole texts of well-known licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "MIT": "Released under the MIT License",
     "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT full text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "BSD-3-Clause": "Released under the BSD 3 Clause License",
     "BSD text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "ISC text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC full text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
@@ -118,8 +123,8 @@ class Scanner:
         self.seed = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(map(re.escape, self.seeds), key=len, reverse=True)) + r")(?![a-z0-9])")
 
     def __call__(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
-        """(template, coverage, aligned words, start, end) of each license; code points of the text in lower case."""
-        low = (text or "").lower()
+        """(template, coverage, aligned words, start, end) of each license, in code points of the text."""
+        low = lowered(text or "")
         if not self.seed.search(low):
             return []
         spans = [(m[0], m.start(), m.end()) for m in _WORD.finditer(low)]
@@ -145,51 +150,78 @@ class Scanner:
         out: list[tuple[str, float, int, int, int]] = []
         taken: list[tuple[int, int]] = []
         for share, n, name, a, b in sorted(found, key=lambda x: (-x[1], -x[0], x[2], x[3])):
-            if all(b <= p or q <= a for p, q in taken):
-                taken.append((a, b))
+            # What is taken is kept in order, so that only two neighbours can overlap.
+            k = bisect_left(taken, (a, b))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                taken.insert(k, (a, b))
                 out.append((name, share, n, spans[a][1], spans[b - 1][2]))
         return sorted(out, key=lambda x: (x[3], x[0]))
 
     def _within(self, words: list[str], lo: int, hi: int, template: list[str]) -> Iterator[tuple[int, int, int]]:
         """(first word, end, aligned words) of each cover of a template between two places.
 
-        A stretch may hold several copies, whose words would then not be unique:
-        it is cut where a window of the template's length has most of its words.
+        A cover spreads over ``1.5 n + 2`` words at most. Windows of that size, however long
+        the stretch is, are aligned where they hold enough of the template's words.
         """
         n, vocabulary = len(template), Counter(template)
-        while hi - lo >= 1:
-            slack = n // 2 + 2
-            if hi - lo <= n + 2 * slack:
-                cut = (lo, hi)
-            else:
-                cut = None
-                have, size, best = Counter(), n + 2, 0
-                hits = 0
-                for at in range(lo, hi):
-                    w = words[at]
-                    if have[w] < vocabulary[w]:
-                        hits += 1
-                    have[w] += 1
-                    if at - lo >= size:
-                        gone = words[at - size]
-                        have[gone] -= 1
-                        if have[gone] < vocabulary[gone]:
-                            hits -= 1
-                    if hits > best:
-                        best, cut = hits, (max(lo, at - size - 1), min(hi, at + 3))
-                    elif cut and best >= self.cover * n and at > cut[1] + 2:
-                        break
-                if not cut or best < self.cover * n:
-                    return
-            pairs = aligned(words[cut[0] : cut[1]], template)
-            if len(pairs) >= self.cover * n - 1e-9:
-                a, b = cut[0] + pairs[0][0], cut[0] + pairs[-1][0] + 1
-                # Spread over far more words than the template has, they are chance.
-                if b - a <= 1.5 * n + 2:
-                    yield a, b, len(pairs)
-                lo = b
+        size, need = n + n // 2 + 2, self.cover * n - 1e-9
+        while hi - lo >= need:
+            first = self._first(words, lo, hi, vocabulary, size, need)
+            if first is None:
+                return
+            best = None
+            # The first window that can hold a cover ends at ``first``; the cover begins in it, and ends a window later at most.
+            for end in sorted({*range(first, min(hi, first + size), max(1, n // 8)), min(hi, first + size)}):
+                whole = (max(lo, end - size), end)
+                for a, b in {whole, self._tight(words, *whole, vocabulary, (1, -1)), self._tight(words, *whole, vocabulary, (-1, 1))}:
+                    pairs = aligned(words[a:b], template)
+                    if len(pairs) >= need:
+                        cover = (a + pairs[0][0], a + pairs[-1][0] + 1, len(pairs))
+                        # Most words first; of equal covers the shortest, then the first.
+                        if cover[1] - cover[0] <= size and (best is None or (cover[2], cover[0] - cover[1], -cover[0]) > (best[2], best[0] - best[1], -best[0])):
+                            best = cover
+            if best:
+                yield best
+                lo = best[1]
             else:
-                lo = cut[1] if cut[1] < hi else hi
+                lo = max(lo + 1, first - size + max(1, n // 8))
+
+    @staticmethod
+    def _first(words: list[str], lo: int, hi: int, vocabulary: Counter, size: int, need: float) -> int | None:
+        """The end of the first window that holds enough words of the template."""
+        have, hits = Counter(), 0
+        for at in range(lo, hi):
+            w = words[at]
+            if have[w] < vocabulary[w]:
+                hits += 1
+            have[w] += 1
+            if at - lo >= size:
+                gone = words[at - size]
+                have[gone] -= 1
+                if have[gone] < vocabulary[gone]:
+                    hits -= 1
+            if hits >= need:
+                return at + 1
+        return None
+
+    @staticmethod
+    def _tight(words: list[str], a: int, b: int, vocabulary: Counter, ends: tuple[int, int]) -> tuple[int, int]:
+        """The window without words at its ends that the template has not, or that stand in it often enough without them."""
+        have = Counter(words[a:b])
+        for step in ends:
+            while a < b:
+                w = words[a if step == 1 else b - 1]
+                if have[w] <= vocabulary[w]:
+                    break
+                have[w] -= 1
+                a, b = (a + 1, b) if step == 1 else (a, b - 1)
+        return a, b
+
+
+def lowered(text: str) -> str:
+    """Lower case, character by character where a longer result would shift what follows."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, cover: float = COVER) -> DataFrame:

@@ -172,6 +172,70 @@ def test_licenses(spark, docs):
     assert next(r for r in rows if r.doc_id == 1).coverage == pytest.approx(11 / 12, abs=0.02)
 
 
+def test_what_surrounds_a_license_makes_no_difference():
+    rng = random.Random(4)
+    scan = license_scan.Scanner()
+    for name in ("MIT text", "Apache-2.0 header", "BSD text", "GPL-3.0"):
+        template = license_scan.TEMPLATES[name].split()
+        for _ in range(6):
+            body = [w for w in template if rng.random() > 0.06]
+            if rng.random() < 0.5:
+                body = [x for k, w in enumerate(body) for x in ([w, "zzz"] if k % 4 == 3 else [w])]
+            alone = [(f[0], f[2]) for f in scan(" ".join(body)) if f[0] == name]
+            pad = lambda: [w for _ in range(60) for w in rng.sample(["license", "copy", "of", "the", "use", "software", "river", "to", "permission"], 6)]
+            padded = [(f[0], f[2]) for f in scan(" ".join([*pad(), *body, *pad()])) if f[0] == name]
+            assert len(alone) == len(padded) == (len(alone) and 1) and all(p[1] >= a[1] - 2 for a, p in zip(alone, padded, strict=True))
+    twice = " ".join([license_scan.TEMPLATES["MIT text"]] * 2)
+    assert [f[0] for f in scan(twice)] == ["MIT text"] * 2
+    shifted = "İİİ " + license_scan.TEMPLATES["MIT"]
+    assert [shifted[f[3] : f[4]] for f in scan(shifted)] == [license_scan.TEMPLATES["MIT"]]
+
+
+def brute_cover(words, template):
+    """The longest common subsequence within any window that a cover may fill."""
+    best, size = 0, len(template) + len(template) // 2 + 2
+    for a in range(max(1, len(words) - size + 1)):
+        row = [0] * (len(template) + 1)
+        for w in words[a : a + size]:
+            prev = 0
+            for j, x in enumerate(template, 1):
+                prev, row[j] = row[j], max(row[j], row[j - 1], prev + (w == x))
+        best = max(best, row[-1])
+    return best / len(template)
+
+
+def test_license_scan_against_brute_force():
+    """With words that occur once the alignment is the longest common subsequence."""
+    rng = random.Random(7)
+    template = [f"w{k}" for k in range(30)]
+    scan = license_scan.Scanner({"T": " ".join(template)})
+    seen = Counter()
+    for _ in range(200):
+        body = [w for w in template if rng.random() > rng.choice([0.02, 0.15, 0.2, 0.3])]
+        for _ in range(rng.randrange(14)):
+            body.insert(rng.randrange(len(body) + 1), "x")
+        words = ["a"] * rng.randrange(80) + body + ["b"] * rng.randrange(80)
+        brute = brute_cover(words, template)
+        found = scan(" ".join(words))
+        assert bool(found) == (brute >= 0.8 - 1e-9)
+        assert not found or abs(found[0][1] - brute) < 1e-9
+        seen[bool(found)] += 1
+    assert min(seen.values()) > 30
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    from cohortloom.llm.secret_scan import base_spans, confirmed_spans
+
+    for unit in ("7", "a", "aF", "A", "0f", "ey.", "ey", "-", "-----BEGIN ", "token ", "AKIA", "/+", "=", "secret="):
+        text = unit * (100_001 // len(unit)) + "1" * 81 + "g"
+        began = time.perf_counter()
+        base_spans(text)
+        confirmed_spans(text)
+        assert time.perf_counter() - began < 3, unit
+
+
 def edit_distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -188,7 +252,7 @@ def test_automaton_equals_edit_distance(token):
     terms = {"abcd": 1.0, "abcabc": 1.0, "dcbadcba": 1.0, "abcdabcda": 1.0}
     found = toxicity.Automaton(toxicity.Lexicon(terms)).match(token)
     near = {t: edit_distance(t, token) for t in terms}
-    good = {t: d for t, d in near.items() if d <= toxicity.edits(t) and (d == 0 or t[0] == token[0])}
+    good = {t: d for t, d in near.items() if d <= toxicity.edits(t) and (d == 0 or t[0] == token[0] or (d == 1 and len(t) >= toxicity.FREE))}
     best = min(good.values(), default=None)
     if found:
         assert found[2] == near[found[0]] == best
@@ -206,11 +270,12 @@ def test_toxicity(spark, docs):
             w.insert(rng.randrange(30), rng.choice(["scoundrel", "blockhead", "nitwitty"]))
         texts.append(" ".join(w))
         y.append(int(k % 4 == 0))
-    extra = ["you are a scoundrle now", "you scoundrell", None, "", "the word «scoundrel» means a rogue"]
+    extra = ["you are a scoundrle now", "you scoundrell", None, "", "the word «scoundrel» means a rogue", "you bl0ckhead", "zcoundrel", "you blockhe@d, go", "42 1999"]
     labels = spark.createDataFrame([(k, 1, t) for k, t in enumerate(y)], "doc_id bigint, quality int, toxic int")
     rows = {r.doc_id: r for r in toxicity.toxicity_report(docs(texts + extra), labels).collect()}
     held = [k for k in range(400) if rows[k].held_out]
     assert 60 < len(held) < 140 and all(rows[k].predicted == y[k] for k in held)
+    assert all(rows[k].predicted == 1 for k in (400, 405, 406, 407)) and rows[408].predicted == 0
     assert rows[401].predicted == 1 and rows[402].predicted == rows[403].predicted == 0
     assert rows[404].score < rows[401].score and rows[404].quoted == 1 and all(0 <= r.score <= 1 for r in rows.values())
     none = toxicity.toxicity_report(docs(["a"]), labels.limit(0)).collect()

@@ -10,7 +10,8 @@ high enough.
 
 Defined results: a null text counts as empty; an empty text has no words, so
 fails the base; rows are judged one by one, so ties and repeated rows get equal
-verdicts; an empty table gives an empty result.
+verdicts; an empty table gives an empty result; other columns may have any name,
+since a row travels as one struct.
 """
 
 from __future__ import annotations
@@ -58,16 +59,17 @@ def _counted(text: Column, chars: str) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, and a struct ``_q`` with the statistics of each text.
+    """A struct ``row`` of all columns of ``docs``, and a struct ``_q`` with the statistics of each text.
 
     Repeated windows are found inside the row: a hash for each five-word window,
     and only where two are equal a sort of (hash, position), so that the cost is
     n log n even for a very long repetitive text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    keep = ["row"]
     # Each step refers to the one before it at least twice, so that Catalyst keeps the steps apart.
-    a = docs.select(*keep, t.alias("_t"), F.array_remove(F.split(t, SPACE), "").alias("_w"), F.split(t, "\n", -1).alias("_l"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    a = docs.select(row, t.alias("_t"), F.array_remove(F.split(t, SPACE), "").alias("_w"), F.split(t, "\n", -1).alias("_l"))
     a = a.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     a = a.withColumn("_l", F.filter("_l", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     window = lambda h, i: F.xxhash64(h, *[F.get("_h", i + k) for k in range(1, 5)])
@@ -190,12 +192,12 @@ def judged(voted: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, Model]:
 def quality_filter(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, unchanged, that pass the base and whose posterior reaches ``threshold``."""
     table = Workspace(docs.sparkSession).save(votes(measured(docs)), "votes")
-    return judged(table, threshold)[0].filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(table, threshold)[0].filter("_kept").select("row.*")
 
 
 def quality_report(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row for each document: the statistics, the votes and the verdict."""
-    scored = votes(measured(docs.select("doc_id", "text"))).select("doc_id", "_q", "_v")
+    scored = votes(measured(docs.select("doc_id", "text"))).select(F.col("row.doc_id").alias("doc_id"), "_q", "_v")
     table = Workspace(docs.sparkSession).save(scored, "votes")
     q = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged(table, threshold)[0].select("doc_id", *q, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_v").alias("votes"), F.round("_posterior", 6).alias("posterior"))

@@ -48,15 +48,13 @@ _BESIDE = re.compile(r"[^\S\n]\s|\s[^\S\n]|\A\s|\s\Z")
 class Tokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes; one for each worker process."""
 
-    def __init__(self, vocabulary: str | None = None, tokenizer: str | None = None):
+    def __init__(self, added: list[str], vocabulary: str | None = None, tokenizer: str | None = None):
         import public_tokenizers as P
         import tiktoken
 
         path, self.file = vocabulary or P.path("byte_bpe_50k.tiktoken"), tokenizer or P.path("byte_bpe_50k.json")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        with open(self.file, encoding="utf-8") as f:
-            added = [x["content"] for x in json.load(f)["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.tokenizer = None
         self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -90,11 +88,20 @@ class Tokens:
         return b"".join([self._whole(first), *[get(p) or self._part(p) for p in rest]])
 
 
+def added_tokens(tokenizer: str | None = None) -> list[str]:
+    """What the tokenizer takes for one token wherever it stands in a text."""
+    import public_tokenizers as P
+
+    with open(tokenizer or P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return [x["content"] for x in json.load(f)["added_tokens"]]
+
+
 def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """(``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``) for each piece of each row."""
+    added = added_tokens(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens(vocabulary, tokenizer), np.array([END], dtype="<u4").tobytes()
+        tokens, end = Tokens(added, vocabulary, tokenizer), np.array([END], dtype="<u4").tobytes()
         for b in batches:
             row, start, size, crc, total = [], [], [], [], []
             for k, x in enumerate(b.column(1)):

@@ -19,9 +19,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_LOCK = threading.Lock()
-_WRITING: dict[str, object] = {"n": 0, "was": None}
+#: What was shuffled for a table isn't read again once the table is written, and small tables are one file.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+_LOCK = threading.RLock()
+_WRITING: dict[str, object] = {"n": 0, "was": {}}
 _SPACES: list[Workspace] = []
 
 
@@ -45,33 +46,37 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/cohortloom-{uuid.uuid4().hex}"
         _SPACES.append(self)
 
-    def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-        """Write ``df``, in a folder for each value of ``by``, and return it as read back: its lineage ends here."""
-        return self._written(df, name, by)
+    def save(self, df: DataFrame, name: str, by: list[str] | None = None, heavy: bool = False) -> DataFrame:
+        """Write ``df``, in a folder for each value of ``by``, and return it as read back: its lineage ends here.
+
+        ``heavy``: rows cost much more work than their size suggests, so all cores shall share them.
+        """
+        return self._written(df, name, by, heavy)
 
     def save_counted(self, df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, tuple]:
         """The same, with aggregates over the rows that are taken while they are written."""
         seen = Observation()
         named = [c.alias(f"s{k}") for k, c in enumerate(sums)]
-        out = self._written(df.observe(seen, F.count(F.lit(1)).alias("n"), *named), name, None)
+        out = self._written(df.observe(seen, F.count(F.lit(1)).alias("n"), *named), name)
         return out, tuple(seen.get[k] for k in ("n", *(f"s{k}" for k in range(len(sums)))))
 
-    def _written(self, df: DataFrame, name: str, by: list[str] | None) -> DataFrame:
-        path = f"{self.root}/{name}"
-        # What was shuffled for this table isn't read again once the table is written.
-        # The setting is the session's: the last of several threads that write puts it back.
+    def _written(self, df: DataFrame, name: str, by: list[str] | None = None, heavy: bool = False) -> DataFrame:
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        # The settings are the session's: the last of several threads that write puts them back.
         with _LOCK:
             if not _WRITING["n"]:
-                _WRITING["was"] = self.spark.conf.get(_CLEAN_UP)
-                self.spark.conf.set(_CLEAN_UP, "true")
+                _WRITING["was"] = {k: conf.get(k) for k in _SETTINGS}
             _WRITING["n"] += 1
+            for k, v in _SETTINGS.items():
+                conf.set(k, "true" if heavy else v)
         try:
             df.write.mode("overwrite").partitionBy(*by or ()).parquet(path)
         finally:
             with _LOCK:
                 _WRITING["n"] -= 1
                 if not _WRITING["n"]:
-                    self.spark.conf.set(_CLEAN_UP, _WRITING["was"])
+                    for k, v in _WRITING["was"].items():
+                        conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, path: str) -> None:

@@ -20,7 +20,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: What was shuffled for a table isn't read again once the table is written, and small tables are one file.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+}
 _LOCK = threading.RLock()
 _WRITING: dict[str, object] = {"n": 0, "was": {}}
 _SPACES: list[Workspace] = []
@@ -68,7 +72,7 @@ class Workspace:
                 _WRITING["was"] = {k: conf.get(k) for k in _SETTINGS}
             _WRITING["n"] += 1
             for k, v in _SETTINGS.items():
-                conf.set(k, "true" if heavy else v)
+                conf.set(k, "true" if heavy and v == "false" else v)
         try:
             df.write.mode("overwrite").partitionBy(*by or ()).parquet(path)
         finally:

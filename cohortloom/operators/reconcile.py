@@ -8,8 +8,8 @@ from cohortloom.functions.text import base_accession, truthy
 
 #: Rows of the whole collection, and its terabytes, by which sizes are estimated; a quota in GiB.
 COLLECTION_ROWS, COLLECTION_TB, QUOTA_GIB = 1_683_600, 14.7, 100
-#: A list of substrings is broadcast only up to so many bytes; a longer one is refused.
-STEM_BYTES = 32 << 20
+#: Substrings of so many different lengths are looked up whole; of longer ones a beginning is, and the rest compared.
+STEM_LENGTHS = 32
 
 
 def left_mapped(df: DataFrame, key: str, mapping: DataFrame, map_key: str) -> DataFrame:
@@ -49,16 +49,24 @@ def missing(df: DataFrame, key: str, present: DataFrame, prefix: str = "") -> Da
 
 
 def without_substrings(df: DataFrame, column: str, stems: DataFrame) -> DataFrame:
-    """Rows in whose column no stem stands anywhere.
+    """Rows in whose column no stem stands anywhere; nulls stay, and an empty stem stands in every text.
 
-    The condition is no equality, so every row is held against every stem: the stems are
-    sent to all tasks, and their size is checked first.
+    Each different value is cut into its stretches of the lengths that stems have, and
+    these are joined with the stems by equality, so that no row meets all stems.
     """
     s = stems.select(F.col(stems.columns[0]).alias("_stem")).where("_stem is not null").distinct()
-    size = s.agg(F.coalesce(F.sum(F.octet_length("_stem")), F.lit(0))).first()[0]
-    if size > STEM_BYTES:
-        raise ValueError(f"{size} bytes of stems; at most {STEM_BYTES} can be held against all rows")
-    return df.join(F.broadcast(s), F.col(column).contains(F.col("_stem")), "left_anti")
+    sizes = [r[0] for r in s.select(F.length("_stem").alias("n")).distinct().orderBy("n").limit(STEM_LENGTHS).collect()]
+    if not sizes:
+        return df
+    if sizes[0] == 0:
+        return df.where(F.col(column).isNull())
+    s = s.withColumn("_part", F.substring("_stem", 1, sizes[-1]))
+    values = df.select(F.col(column).alias("_value")).where("_value is not null").distinct()
+    place = lambda n: F.transform(F.sequence(F.lit(1), F.length("_value") - n + 1), lambda i: F.substring(F.col("_value"), i, F.lit(n)))
+    parts = [F.when(F.length("_value") >= n, place(n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    cut = values.select("_value", F.explode(F.array_distinct(F.concat(*parts))).alias("_part"))
+    hit = cut.join(s, "_part").where(F.col("_value").contains(F.col("_stem"))).select("_value").distinct()
+    return df.join(hit, F.col(column) == F.col("_value"), "left_anti")
 
 
 def aligned(keys: DataFrame, key: str, meta: DataFrame, meta_key: str) -> DataFrame:

@@ -88,7 +88,7 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def argmax_rows(df: DataFrame, key: str, metric: str, ties: str) -> DataFrame:
     """For each key the row with the largest metric; of equal ones the first by ``ties``."""
-    best = F.max_by(F.struct(*df.columns), F.struct(F.col(metric), -F.col(ties)))
+    best = F.min_by(F.struct(*df.columns), F.struct((-F.col(metric)).alias("m"), F.col(ties).alias("t")))
     return df.where(F.col(metric).isNotNull()).groupBy(key).agg(best.alias("_r")).select("_r.*")
 
 

@@ -55,6 +55,10 @@ def wide(df: DataFrame, key: str, embedding: str, dims: int) -> DataFrame:
     return df.select(key, *[F.get(embedding, F.lit(i)).alias(f"dim_{i}") for i in range(dims)])
 
 
+#: Similarities that a task holds at once.
+CELLS = 1 << 21
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, id: str, embedding: str, k: int, limit: int = 20_000) -> DataFrame:
     """The k vectors of largest cosine similarity for each of the queries (others than itself).
 
@@ -74,14 +78,21 @@ def nearest(queries: DataFrame, vectors: DataFrame, id: str, embedding: str, k:
 
         def run(batches, ids=ids, q=q):
             for b in batches:
-                own = b.column(0).to_numpy()
-                s = q @ unit(np.array(b.column(1).to_pylist(), dtype=np.float64)).T
-                s[ids[:, None] == own[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                value = np.take_along_axis(s, best, axis=1)
-                keep = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[keep.ravel()]), pa.array(own[best][keep]), pa.array(value[keep])], ["query", id, "cosine"])
+                own, v = b.column(0).to_numpy(), unit(np.array(b.column(1).to_pylist(), dtype=np.float64))
+                step = max(1, CELLS // max(1, len(own)))
+                for at in range(0, len(q), step):
+                    query = ids[at : at + step]
+                    s = q[at : at + step] @ v.T
+                    s[query[:, None] == own[None, :]] = -np.inf
+                    n = min(k, s.shape[1])
+                    best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                    # Where others tie with the last one, the smallest ids stay.
+                    last = np.take_along_axis(s, best, axis=1).min(axis=1)
+                    for r in np.flatnonzero((s >= last[:, None]).sum(axis=1) > n):
+                        best[r] = np.lexsort((own, -s[r]))[:n]
+                    value = np.take_along_axis(s, best, axis=1)
+                    keep = np.isfinite(value)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, n)[keep.ravel()]), pa.array(own[best][keep]), pa.array(value[keep])], ["query", id, "cosine"])
 
         part = vectors.select(id, embedding).mapInArrow(run, schema)
         best = part if best is None else best.unionByName(part)

@@ -32,7 +32,7 @@ SQL = {
         SELECT p_partkey AS record, CASE WHEN p_partkey % 3 = 0 THEN concat('SAM', CAST(p_partkey AS STRING))
           ELSE concat('GCF_', lpad(CAST(CAST(floor(p_partkey / 2.0) AS BIGINT) AS STRING), 9, '0'), '.1_ASM', CAST(p_size AS STRING)) END AS accession,
           CASE WHEN p_partkey % 7 = 0 THEN 'true' ELSE 'false' END AS downloaded FROM part""",
-    "stems": "SELECT concat('_', lpad(CAST(p_partkey AS STRING), 9, '0')) AS stem FROM part WHERE p_partkey % 50 = 1",
+    "stems": "SELECT concat('_', lpad(CAST(p_partkey AS STRING), 9, '0')) AS stem FROM part",
     "path_list": """
         SELECT p_partkey AS record, concat('/a/b/', CASE WHEN p_partkey % 2 = 0 THEN 'GCF_' ELSE 'X_' END, CAST(p_partkey AS STRING), '.1_ASM',
           CASE p_partkey % 3 WHEN 0 THEN '.fa.gz' WHEN 1 THEN '.fna.gz' ELSE '.bakta.gff3.gz' END) AS path FROM part""",
@@ -42,12 +42,13 @@ SQL = {
           UNION ALL SELECT o_custkey, concat('B:', p_brand) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
           UNION ALL SELECT o_custkey, concat('C:', p_brand, '/', p_type, '/', CAST(p_size AS STRING)) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) x""",
     "genes": "SELECT CAST(label AS BIGINT) AS sample, vec_id AS gene, embedding FROM embeddings",
+    "baskets": "SELECT o_custkey AS sample, o_orderkey AS record, CAST(l_quantity AS DOUBLE) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "run_summary": """
         SELECT n_name AS strain, CASE WHEN n_nationkey % 3 <> 0 THEN 1 ELSE 2 + n_nationkey % 4 END AS n_lineages, count(*) AS n,
           avg(o_totalprice) AS mean_size, stddev_samp(o_totalprice) AS sd_size, n_regionkey AS region
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey, n_regionkey""",
     "predictions": "SELECT CAST(quality AS INT) AS label, CAST((n_chars % 41 - 20) / 10.0 AS DOUBLE) AS logit FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
-    "mapping": "SELECT o_custkey AS sample, o_orderkey AS record, concat('/f/', CAST(o_orderkey AS STRING), '.parquet') AS file FROM orders WHERE o_orderkey % 5 = 0",
+    "mapping": "SELECT o_custkey AS sample, o_orderkey AS record, concat('/f/', CAST(o_orderkey AS STRING), '.parquet') AS file FROM orders",
 }
 #: Tables that each adapter reads.
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings")

@@ -441,11 +441,11 @@ def gene_metadata(t):  # noqa: ANN001, ANN201
     return reconcile.left_mapped(t("genes").select("gene", "sample"), "sample", meta, "sample")
 
 
-@query("""SELECT gene, CAST(len(embedding) AS INT) AS n, CAST(greatest(least(1 + gene % 5, 64), 0) AS INT) AS there, (SELECT max(1 + h.gene % 5) FROM genes h WHERE h.sample = g.sample)::INT AS padded FROM genes g""")
+@query("SELECT record, n, n AS there, max(n) OVER (PARTITION BY sample) AS padded FROM (SELECT sample, record, CAST(count(*) AS INT) AS n FROM baskets GROUP BY 1, 2)")
 def pad_batch(t):  # noqa: ANN001, ANN201
-    cut = t("genes").select("sample", "gene", F.size("embedding").alias("n"), F.slice("embedding", F.lit(1), (1 + F.col("gene") % 5).cast("int")).alias("x"))
-    out = vectors.padded(cut, "sample", "x")
-    return out.select("gene", "n", F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("there"), F.size("x").alias("padded"))
+    lists = t("baskets").groupBy("sample", "record").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    out = vectors.padded(lists.withColumn("n", F.size("x")), "sample", "x")
+    return out.select("record", "n", F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("there"), F.size("x").alias("padded"))
 
 
 @query("SELECT sample, gene FROM genes WHERE sample % 2 = 0 AND gene % 3 = 0")
@@ -594,9 +594,9 @@ def reconcile_counts(t):  # noqa: ANN001, ANN201
     return reconcile.reconciled(t("expected_ids"), "sample", t("present_ids"), "present", ["sample", "segment"])[1]
 
 
-@query("SELECT e.sample, m.file AS path FROM (SELECT DISTINCT record AS sample FROM mapping UNION SELECT DISTINCT sample FROM expected_ids WHERE sample < 100) e JOIN mapping m ON m.file = concat('/f/', e.sample, '.parquet')")
+@query("SELECT e.sample, m.file AS path FROM (SELECT DISTINCT record AS sample FROM mapping UNION SELECT DISTINCT sample FROM expected_ids) e JOIN mapping m ON m.file = concat('/f/', e.sample, '.parquet')")
 def file_list(t):  # noqa: ANN001, ANN201
-    ids = t("mapping").select(F.col("record").alias("sample")).union(t("expected_ids").select("sample").where("sample < 100"))
+    ids = t("mapping").select(F.col("record").alias("sample")).union(t("expected_ids").select("sample"))
     return reconcile.file_list(ids, "sample", t("mapping").select(F.col("file").alias("path")), ".parquet")[0]
 
 

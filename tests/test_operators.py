@@ -233,3 +233,37 @@ def test_nearest_beyond_one_block_of_queries(spark):
     s = u @ u.T
     np.fill_diagonal(s, -2)
     assert got == {(i, int(j)) for i in range(23) for j in np.argsort(-s[i])[:3]}
+
+
+def test_without_substrings_equals_brute_force(spark):
+    import random
+
+    from cohortloom.operators import reconcile
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    values = [None, "", *[word(rng.randrange(1, 30)) for _ in range(120)]]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k bigint, v string")
+    for sizes in ([3, 5, 9], list(range(4, 60)), [1], []):
+        stems = [word(n) for n in sizes for _ in range(3)] + [None]
+        left = reconcile.without_substrings(df, "v", spark.createDataFrame([(x,) for x in stems], "stem string"))
+        assert sorted(r.k for r in left.collect()) == [k for k, v in enumerate(values) if v is None or not any(x is not None and x in v for x in stems)]
+    assert [r.k for r in reconcile.without_substrings(df, "v", spark.createDataFrame([("",)], "stem string")).collect()] == [0]
+
+
+def test_nearest_orders_ties_by_id(spark):
+    from cohortloom.operators import vectors
+
+    rows = [(k, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(60)]
+    v = spark.createDataFrame(rows, "id bigint, e array<double>")
+    for n in (1, 7):
+        found = vectors.nearest(v.where("id < 4"), v.repartition(n), "id", "e", 3, limit=2).collect()
+        got = {q: sorted(r.id for r in found if r["query"] == q) for q in range(4)}
+        assert got == {0: [2, 4, 6], 1: [3, 5, 7], 2: [0, 4, 6], 3: [1, 5, 7]}
+
+
+def test_argmax_rows_with_text_ties(spark):
+    from cohortloom.operators import rollup
+
+    df = spark.createDataFrame([("a", 2.0, "z"), ("a", 2.0, "b"), ("a", 1.0, "a"), ("c", None, "q")], "k string, m double, t string")
+    assert [tuple(r) for r in rollup.argmax_rows(df, "k", "m", "t").collect()] == [("a", 2.0, "b")]

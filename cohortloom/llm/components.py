@@ -24,19 +24,23 @@ def _minima(edges: DataFrame) -> DataFrame:
     return both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge, to a vertex that has none of its own: then the edges are stars around roots."""
+    if not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, space: Workspace, name: str = "components", rounds: int = 40) -> DataFrame:
     """(``id``, ``component``) for every vertex in ``edges`` (columns ``a``, ``b``, of one comparable type).
 
     ``component`` is the least id that can be reached. Self-loops, repeated edges and
     either direction are allowed; nulls are ignored; no edges give no rows.
     """
-    spark = edges.sparkSession
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    # Taken while the edges are written, an unchanged mark is a hint; the edges themselves are compared then.
-    mark_of = F.sum(F.hash("a", "b").cast("long"))
-    e, mark = space.save_counted(e, f"{name}-0", mark_of)
+    e = space.save(e, f"{name}-0")
     for k in range(1, rounds + 1):
-        if not mark[0]:
+        if _settled(e):
             break
         # Large star: link every greater neighbour of v, to the least vertex that v knows.
         low = _minima(e)
@@ -45,17 +49,9 @@ def components(edges: DataFrame, space: Workspace, name: str = "components", rou
         # Small star: link v, and its smaller neighbours, to the least of them.
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        nxt = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        before = e
-        e, now = space.save_counted(nxt, f"{name}-{k}", mark_of)
-        settled = now == mark and e.join(before, ["a", "b"], "left_anti").isEmpty()
+        e = space.save(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{name}-{k}")
         space.drop(f"{name}-{k - 1}")
-        if settled:
-            break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    if not mark[0]:
-        return spark.createDataFrame([], f"id {dict(e.dtypes)['a']}, component {dict(e.dtypes)['b']}")
     roots = e.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     space = Workspace(docs.sparkSession)
     prints = space.save(fingerprints(docs), "prints")
     distinct = space.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(space.save(links(distinct, bits), "links"), space)
+    found = components(space.save(links(distinct, bits), "links", grouped=True), space)
     named = distinct.join(found, distinct["fp"] == found["id"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     named = space.save(named.join(least, "c").select("fp", "component_id"), "named")

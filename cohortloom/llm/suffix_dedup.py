@@ -356,10 +356,10 @@ def repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     space = Workspace(docs.sparkSession)
     n = max(24, -(-input_bytes(docs) // BUCKET))
-    blocks = space.save(_blocks(docs), "blocks")
-    shared = space.save(_shared(_anchors(blocks, n)), "shared")
-    parts = space.save(_parts(blocks, shared, n), "parts", by=["kind"])
+    blocks = space.save(_blocks(docs), "blocks", grouped=True)
+    shared = space.save(_shared(_anchors(blocks, n)), "shared", grouped=True)
+    parts = space.save(_parts(blocks, shared, n), "parts", by=["kind"], grouped=True)
     space.drop("blocks", "shared")
-    removed = space.save(_removed(parts), "removed")
+    removed = space.save(_removed(parts), "removed", grouped=True)
     out = _untouched(parts).unionByName(_cut(parts, removed, with_kept))
     return out if with_kept else out.drop("kept")

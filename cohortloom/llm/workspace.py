@@ -50,12 +50,13 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/cohortloom-{uuid.uuid4().hex}"
         _SPACES.append(self)
 
-    def save(self, df: DataFrame, name: str, by: list[str] | None = None, heavy: bool = False) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: list[str] | None = None, heavy: bool = False, grouped: bool = False) -> DataFrame:
         """Write ``df``, in a folder for each value of ``by``, and return it as read back: its lineage ends here.
 
         ``heavy``: rows cost much more work than their size suggests, so all cores shall share them.
+        ``grouped``: groups are worked on one by one, so partitions stay as the session deals them.
         """
-        return self._written(df, name, by, heavy)
+        return self._written(df, name, by, heavy, grouped)
 
     def save_counted(self, df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, tuple]:
         """The same, with aggregates over the rows that are taken while they are written."""
@@ -64,7 +65,7 @@ class Workspace:
         out = self._written(df.observe(seen, F.count(F.lit(1)).alias("n"), *named), name)
         return out, tuple(seen.get[k] for k in ("n", *(f"s{k}" for k in range(len(sums)))))
 
-    def _written(self, df: DataFrame, name: str, by: list[str] | None = None, heavy: bool = False) -> DataFrame:
+    def _written(self, df: DataFrame, name: str, by: list[str] | None = None, heavy: bool = False, grouped: bool = False) -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf
         # The settings are the session's: the last of several threads that write puts them back.
         with _LOCK:
@@ -72,7 +73,7 @@ class Workspace:
                 _WRITING["was"] = {k: conf.get(k) for k in _SETTINGS}
             _WRITING["n"] += 1
             for k, v in _SETTINGS.items():
-                conf.set(k, "true" if heavy and v == "false" else v)
+                conf.set(k, _WRITING["was"][k] if grouped and "adaptive" in k else "true" if heavy and v == "false" else v)
         try:
             df.write.mode("overwrite").partitionBy(*by or ()).parquet(path)
         finally:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 
@@ -11,11 +13,13 @@ def slug(c: Column) -> Column:
     return F.when(s.isNull() | (s == ""), "unknown").otherwise(s)
 
 
+def _plain(name: str) -> str:
+    return re.sub("[^a-z0-9]+", "_", name.lower()).strip("_")
+
+
 def pair_name(first: str, second: str) -> str:
     """``a_vs_b`` of two names; neither may be empty."""
-    import re
-
-    sides = [re.sub("[^a-z0-9]+", "_", s.lower()).strip("_") for s in (first, second)]
+    sides = [_plain(first), _plain(second)]
     if not all(sides):
         raise ValueError(f"a name is empty: {first!r}, {second!r}")
     return "_vs_".join(sides)
@@ -75,3 +79,18 @@ def bakta_id(path: Column) -> Column:
 def without_prefix(c: Column, base: str) -> Column:
     """Removes every occurrence of a base path."""
     return F.replace(c, F.lit(base), F.lit(""))
+
+
+def stem_without(path: Column, part: str) -> Column:
+    """Name without its last extension and without ``part`` wherever it stands."""
+    return F.replace(F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", ""), F.lit(part), F.lit(""))
+
+
+def run_names(first: str, second: str, base: str, rate: float, output: str = "finetuned") -> dict[str, str]:
+    """Folders and names of a training run on two categories; a caller replaces those that are stated otherwise."""
+    pair = pair_name(first, second)
+    folder = f"{base.rstrip('/')}/training_{_plain(first)}_{_plain(second)}"
+    return {
+        "train": f"{folder}/train", "validate": f"{folder}/validate", "sheet": f"{folder}/binary_{pair}_with_split.csv",
+        "output": f"{folder}/{output}_lr_{rate}", "label": f"{pair}_label", "suffix": f"_with_{pair}.pt",
+    }

@@ -18,27 +18,36 @@ def fixed(df: DataFrame, order: str, size: int) -> DataFrame:
 def greedy(groups: DataFrame, key: str, size: str, target: int) -> DataFrame:
     """(``key``, ``size``, ``batch``): groups in order are gathered until a batch reaches ``target``, with the one that crosses it.
 
-    The sum starts anew with each batch, which no window can express, so the list of groups
-    (not of rows) is folded once.
+    The sum starts anew with each batch, which no window can express. One task reads the
+    groups (not their rows) in order and holds one Arrow batch of them at a time; the sort
+    before it spills. A null size counts as 0.
+    """
+    rows = groups.select(F.col(key), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size))
+
+    def number(frames):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        total = batch = 0
+        for f in frames:
+            out = []
+            for n in f.column(1).to_pylist():
+                out.append(batch)
+                total += n
+                if total >= target:
+                    total, batch = 0, batch + 1
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(out, pa.int64())], names=[key, size, "batch"])
+
+    schema = rows.withColumn("batch", F.lit(0).cast("long")).schema
+    return rows.repartition(1).sortWithinPartitions(key, size).mapInArrow(number, schema)
+
+
+def large_groups(df: DataFrame, key: str, least: int, flags: dict[str, str], first: dict[str, str] | None = None) -> DataFrame:
+    """Groups of more than ``least`` rows, with the rows for which each SQL condition in ``flags`` holds.
+
+    ``first`` (column to order) adds what a column holds in the group's first row by that order.
     """
-    item = F.struct(F.col(key).alias("key"), F.col(size).cast("long").alias("size"))
-    folded = F.aggregate(
-        F.sort_array(F.collect_list(item)),
-        F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<bigint>").alias("out")),
-        lambda s, x: F.struct(
-            F.when(s["sum"] + x["size"] >= target, F.lit(0).cast("long")).otherwise(s["sum"] + x["size"]).alias("sum"),
-            F.when(s["sum"] + x["size"] >= target, s["batch"] + 1).otherwise(s["batch"]).alias("batch"),
-            F.concat(s["out"], F.array(s["batch"])).alias("out"),
-        ),
-    )
-    both = groups.agg(F.sort_array(F.collect_list(item)).alias("items"), folded.alias("f"))
-    rows = F.explode(F.arrays_zip("items", F.col("f.out").alias("out"))).alias("p")
-    return both.select(rows).select(F.col("p.items.key").alias(key), F.col("p.items.size").alias(size), F.col("p.out").alias("batch"))
-
-
-def large_groups(df: DataFrame, key: str, least: int, flags: dict[str, str]) -> DataFrame:
-    """Groups of more than ``least`` rows, with the rows for which each SQL condition in ``flags`` holds."""
     sums = [F.coalesce(F.sum(F.expr(c).cast("long")), F.lit(0)).alias(name) for name, c in flags.items()]
+    sums += [F.min_by(c, order).alias(c) for c, order in (first or {}).items()]
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") > least)
 
 

@@ -32,6 +32,27 @@ def funnel(df: DataFrame, stages: list[tuple[str, Column | None]]) -> DataFrame:
     return df
 
 
+def flagged_only(df: DataFrame, flag: str) -> DataFrame:
+    """Rows whose flag is true. A null flag is an error, so that no row is lost for want of knowledge."""
+    c = F.col(flag)
+    return df.where(F.when(c.isNull(), F.raise_error(F.lit(f"{flag} is null")).cast("boolean")).otherwise(c.cast("boolean")))
+
+
+def in_group_or_none(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows of one group together with those of no group."""
+    return df.where(F.col(column).isNull() | (F.col(column) == value))
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """All rows of the parts, repeated ones included, matched by column name; an error without any part."""
+    if not parts:
+        raise ValueError("nothing to unite")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def routed(df: DataFrame, study: str, name: str = "thread") -> DataFrame:
     """Adds the thread: AMR before Surveillance; NA where the study is unknown; null where none fits."""
     c = F.col(study)
@@ -92,6 +113,11 @@ def ratio_sweep(df: DataFrame, s: Stratum, ratios: tuple[float, ...] = (1.0, 2.0
     return out.groupBy("target").agg(F.count(F.lit(1)).alias("n_strata"), F.sum("sampled1").cast("long").alias("n1"), F.sum("sampled2").cast("long").alias("n2"), F.sum(F.col("sampled1") + F.col("sampled2")).cast("long").alias("n"))
 
 
+def swept(df: DataFrame, s: Stratum, ratios: tuple[float, ...] = (1.0, 2.0, 2.5, 3.0), chosen: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """What each ratio would leave, and the rows that the chosen one leaves."""
+    return ratio_sweep(df, s, ratios), balanced(df, s, chosen)
+
+
 def audit_totals(audit: DataFrame) -> DataFrame:
     out = audit.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n1", "n2", "sampled1", "sampled2")])
     return out.withColumn("ratio", larger_to_smaller(F.col("sampled1"), F.col("sampled2")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions.stats import sigmoid
 
+from .ranking import running_sums
+
 IGNORE = -100
 
 
@@ -19,8 +21,7 @@ def binary_metrics(df: DataFrame, logit: str, label: str, ignore: int = IGNORE,
     if digits is not None:
         rows = rows.withColumn("s", F.round("s", digits))
     by = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by = by.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above)).withColumn("hit", (sigmoid(F.col("s")) >= 0.5).cast("long"))
+    by = running_sums(by.withColumn("down", -F.col("s")), "down", {"tp": "pos", "fp": "neg"}).withColumn("hit", (sigmoid(F.col("s")) >= 0.5).cast("long"))
     sums = by.agg(
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
         F.sum(F.col("hit") * F.col("pos")).alias("tp"), F.sum(F.col("hit") * F.col("neg")).alias("fp"),

@@ -20,17 +20,27 @@ def _class(share: Column) -> Column:
     return F.when(share >= CORE, "core").when(share <= CLOUD, "cloud").otherwise("shell")
 
 
-def feature_classes(df: DataFrame, sample: str, feature: str) -> DataFrame:
-    """For each feature its samples, their share of all samples, and core, shell or cloud."""
-    total = df.agg(F.countDistinct(sample).alias("_all"))
-    n = df.groupBy(feature).agg(F.countDistinct(sample).alias("n_samples"))
+def _classes(pairs: DataFrame, sample: str, feature: str) -> DataFrame:
+    total = pairs.select(sample).distinct().agg(F.count(F.lit(1)).alias("_all"))
+    n = pairs.groupBy(feature).agg(F.count(F.lit(1)).alias("n_samples"))
     out = n.join(F.broadcast(total)).withColumn("frequency", F.col("n_samples") / F.col("_all")).drop("_all")
     return out.withColumn("class", _class(F.col("frequency")))
 
 
+def _pairs(df: DataFrame, sample: str, feature: str) -> DataFrame:
+    """Different pairs; all that reads them shares one exchange, so that the input is evaluated once."""
+    return df.select(sample, feature).where(F.col(sample).isNotNull() & F.col(feature).isNotNull()).distinct()
+
+
+def feature_classes(df: DataFrame, sample: str, feature: str) -> DataFrame:
+    """For each feature its samples, their share of all samples, and core, shell or cloud; rows with a null take no part."""
+    return _classes(_pairs(df, sample, feature), sample, feature)
+
+
 def sample_class_counts(df: DataFrame, sample: str, feature: str) -> DataFrame:
     """For each sample how many of its features are core, shell and cloud."""
-    named = df.select(sample, feature).distinct().join(feature_classes(df, sample, feature).select(feature, "class"), feature)
+    pairs = _pairs(df, sample, feature)
+    named = pairs.join(_classes(pairs, sample, feature).select(feature, "class"), feature)
     one = lambda c: F.sum((F.col("class") == c).cast("long")).alias(c)
     return named.groupBy(sample).agg(one("core"), one("shell"), one("cloud"))
 

@@ -33,9 +33,25 @@ def shuffled_rank(df: DataFrame, keys: list[str], shuffle: Column, ties: list[st
     return _with_slices(df.withColumn("_slice", F.substring(shuffle, 1, 2)), keys, [shuffle, *map(F.col, ties)], name)
 
 
-def ordered_rank(df: DataFrame, order: str, ties: tuple[str, ...] = (), name: str = "rank", slices: int = 64) -> DataFrame:
-    """Rank from 1 by a column. The slices' limits come from a bounded sample; they decide balance, not results."""
+def _dealt(df: DataFrame, order: str, slices: int) -> DataFrame:
+    """Adds ``_slice`` by a column. The limits come from a bounded sample; they decide balance, not results."""
     sample = [r[0] for r in df.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order), order).limit(4096).collect()]
     limits = sorted(sample)[:: max(1, len(sample) // slices)]
     part = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.col(order))) if limits else F.lit(0)
-    return _with_slices(df.withColumn("_slice", F.coalesce(part, F.lit(-1))), [], [F.col(order), *map(F.col, ties)], name)
+    return df.withColumn("_slice", F.coalesce(part, F.lit(-1)))
+
+
+def ordered_rank(df: DataFrame, order: str, ties: tuple[str, ...] = (), name: str = "rank", slices: int = 64) -> DataFrame:
+    """Rank from 1 by a column."""
+    return _with_slices(_dealt(df, order, slices), [], [F.col(order), *map(F.col, ties)], name)
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], slices: int = 64) -> DataFrame:
+    """Adds to each row the sums (new name to column) over all rows up to it, by a column without repeated values."""
+    rows = _dealt(df, order, slices)
+    up = Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lower = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each slice
+    each = rows.groupBy("_slice").agg(*[F.sum(c).alias(f"_s_{name}") for name, c in sums.items()])
+    starts = each.select("_slice", *[F.coalesce(F.sum(f"_s_{name}").over(lower), F.lit(0)).alias(f"_s_{name}") for name in sums])
+    inside = rows.withColumns({f"_i_{name}": F.sum(c).over(up) for name, c in sums.items()})
+    return inside.join(F.broadcast(starts), "_slice").select(*df.columns, *[(F.col(f"_i_{name}") + F.col(f"_s_{name}")).alias(name) for name in sums])

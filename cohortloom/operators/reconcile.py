@@ -135,9 +135,10 @@ def with_reference(df: DataFrame, reference: DataFrame, groups: list[str], colum
     return df.unionByName(rows.select(*df.columns))
 
 
-def distinct_in_order(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Different values in the order in which they first appear."""
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("first")).orderBy("first", column)
+def distinct_in_order(df: DataFrame, column: str, order: str, n: int = -1) -> DataFrame:
+    """Different values in the order in which they first appear; the first n of them unless n is negative."""
+    out = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("first"))
+    return out.orderBy("first", column) if n < 0 else limited(out, n, "first", column)
 
 
 def ids_to_fetch(df: DataFrame, id: str, done: str, prefix: str, skip_done: bool = True, n: int = -1) -> tuple[DataFrame, DataFrame]:
@@ -168,3 +169,31 @@ def file_list(df: DataFrame, id: str, files: DataFrame, suffix: str) -> tuple[Da
 def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns as text, with ``nan`` for nulls, as a writer of mixed columns leaves them."""
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns})
+
+
+def flattened(files: DataFrame, folder: str, name: Column, present: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Moves of nested files into one folder (``path``, ``target``), and those refused.
+
+    A move is refused if its target is there already, or if several files would share it.
+    """
+    moves = files.select("path", F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("target"))
+    taken = moves.groupBy("target").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("target")
+    if present is not None:
+        taken = taken.union(present.select(F.col(present.columns[0]).alias("target"))).distinct()
+    return moves.join(taken, "target", "left_anti").select("path", "target"), moves.join(taken, "target", "left_semi").select("path", "target")
+
+
+def batch_outcomes(lines: DataFrame, batch: str, line: str) -> DataFrame:
+    """For each batch of a log its lines and whether it succeeded, failed, or did neither (``open``).
+
+    A batch with a line of both kinds counts as failed.
+    """
+    has = lambda word: F.max(F.coalesce(F.col(line).contains(f"{word}:"), F.lit(False)))
+    out = lines.groupBy(batch).agg(F.count(F.lit(1)).alias("n_lines"), has("SUCCESS").alias("_ok"), has("FAILED").alias("_bad"))
+    return out.select(batch, "n_lines", F.when(F.col("_bad"), "failed").when(F.col("_ok"), "success").otherwise("open").alias("outcome"))
+
+
+def paths_by_sample(files: DataFrame, sample: Column, suffixes: dict[str, str]) -> DataFrame:
+    """(``sample``, and a path for each named suffix): one row for each sample, null where a file is lacking, the least path of several."""
+    one = lambda name, suffix: F.min(F.when(F.col("path").endswith(suffix), F.col("path"))).alias(name)
+    return files.withColumn("sample", sample).where(F.col("sample").isNotNull()).groupBy("sample").agg(*[one(k, v) for k, v in suffixes.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def value_counts(df: DataFrame, column: str, nulls: bool = False) -> DataFrame:
@@ -18,6 +18,11 @@ def having_count(df: DataFrame, column: str, least: int | Column, strict: bool =
     return df.join(kept.select(column), column, "left_semi")
 
 
+def dropped_counts(df: DataFrame, column: str, least: int, report: int = 500) -> DataFrame:
+    """Values that ``having_count`` drops although they have more than ``report`` rows, most frequent first."""
+    return value_counts(df, column).where((F.col("n") < least) & (F.col("n") > report)).orderBy(F.desc("n"), column)
+
+
 def test_stats(df: DataFrame, by: str | list[str], phenotype: str) -> DataFrame:
     """Totals by phenotype and percentages of the three that count; 0 where none does."""
     p = F.lower(F.col(phenotype))
@@ -66,12 +71,12 @@ def profile(df: DataFrame, facets: list[str], top: int = 10) -> DataFrame:
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in facets])).alias("p")
     counts = df.select(pairs).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("facet").orderBy(F.col("value").isNull(), F.desc("n"), "value")
-    total = F.sum("n").over(Window.partitionBy("facet"))
-    out = counts.select("facet", "value", "n", (100.0 * F.col("n") / total).alias("percent"), F.row_number().over(order).alias("place"))
-    return out.where((F.col("place") <= top) | F.col("value").isNull()).drop("place")
+    # A rank with a limit is cut to ``top`` rows in each task before anything is shuffled.
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    known = counts.where("value is not null").withColumn("place", place).where(F.col("place") <= top).drop("place")
+    total = counts.groupBy("facet").agg(F.sum("n").alias("total"))  # one row for each facet
+    out = known.unionByName(counts.where("value is null")).join(F.broadcast(total), "facet")
+    return out.select("facet", "value", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 
 def year_range(df: DataFrame, column: str) -> DataFrame:
@@ -86,10 +91,10 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias("n_null")) for c in columns])).alias("p")).select("p.*")
 
 
-def argmax_rows(df: DataFrame, key: str, metric: str, ties: str) -> DataFrame:
-    """For each key the row with the largest metric; of equal ones the first by ``ties``."""
+def argmax_rows(df: DataFrame, key: str | list[str], metric: str, ties: str) -> DataFrame:
+    """For each key (or several together) the row with the largest metric; of equal ones the first by ``ties``."""
     best = F.min_by(F.struct(*df.columns), F.struct((-F.col(metric)).alias("m"), F.col(ties).alias("t")))
-    return df.where(F.col(metric).isNotNull()).groupBy(key).agg(best.alias("_r")).select("_r.*")
+    return df.where(F.col(metric).isNotNull()).groupBy(*[key] if isinstance(key, str) else key).agg(best.alias("_r")).select("_r.*")
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, variance: str) -> DataFrame:
@@ -102,3 +107,23 @@ def weighted_mean(df: DataFrame, value: str, weight: str, variance: str) -> Data
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact numbers of different values."""
     return df.agg(*[F.countDistinct(c).alias(c) for c in columns])
+
+
+def spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(``column``, ``n``, ``mean``, ``least``, ``most``) of numbers in one pass; nulls take no part, and of nothing the three are null."""
+    sums = [f(F.col(f"`{c}`").cast("double")).alias(f"_{name}{k}") for k, c in enumerate(columns) for name, f in (("n", F.count), ("mean", F.avg), ("least", F.min), ("most", F.max))]
+    one = lambda k, c: F.struct(F.lit(c).alias("column"), *[F.col(f"_{name}{k}").alias(name) for name in ("n", "mean", "least", "most")])
+    return df.agg(*sums).select(F.explode(F.array(*[one(k, c) for k, c in enumerate(columns)])).alias("p")).select("p.*")
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``names`` (source to new name) in that order; names may hold any character. A KeyError tells of missing ones."""
+    missing = [c for c in names if c not in df.columns]
+    if missing:
+        raise KeyError(f"no columns {missing}")
+    return df.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
+
+
+def ordered(df: DataFrame, **ascending: bool) -> DataFrame:
+    """Sorted by several columns, each up (True) or down; nulls come last either way."""
+    return df.orderBy(*[F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in ascending.items()])

@@ -34,10 +34,13 @@ def pair_label(df: DataFrame, column: str, first: str, second: str, name: str) -
     return df.where(F.col(column).isin(first, second)).withColumn(name, (F.col(column) == first).cast("int"))
 
 
-def pruned(df: DataFrame, id: str, present: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id is present, and the different ids that are not."""
+def pruned(df: DataFrame, id: str, present: DataFrame, required: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is present, and the different ids that are not; ``required`` makes it an error if none is present."""
     there = present.select(id).distinct()
-    return df.join(there, id, "left_semi"), df.select(id).where(F.col(id).isNotNull()).distinct().join(there, id, "left_anti")
+    kept = df.join(there, id, "left_semi")
+    if required and kept.isEmpty():
+        raise ValueError(f"no {id} is present")
+    return kept, df.select(id).where(F.col(id).isNotNull()).distinct().join(there, id, "left_anti")
 
 
 def helper_free(columns: list[str], helpers: set[str]) -> list[str]:

@@ -50,6 +50,16 @@ def first_of_columns(df: DataFrame, names: list[str], zeros: Column) -> Column:
     return F.coalesce(*[F.col(c) for c in names if c in df.columns], zeros)
 
 
+def squeezed(matrix: Column) -> Column:
+    """The only vector of a batch of one; an error if there are more, null if there is none."""
+    return F.when(F.size(matrix) > 1, F.raise_error(F.lit("more than one vector")).cast("array<double>")).otherwise(F.get(matrix, F.lit(0)).cast("array<double>"))
+
+
+def unsqueezed(vector: Column) -> Column:
+    """A batch of one."""
+    return F.array(vector)
+
+
 def wide(df: DataFrame, key: str, embedding: str, dims: int) -> DataFrame:
     """One column for each dimension."""
     return df.select(key, *[F.get(embedding, F.lit(i)).alias(f"dim_{i}") for i in range(dims)])

@@ -47,6 +47,10 @@ SQL = {
         SELECT n_name AS strain, CASE WHEN n_nationkey % 3 <> 0 THEN 1 ELSE 2 + n_nationkey % 4 END AS n_lineages, count(*) AS n,
           avg(o_totalprice) AS mean_size, stddev_samp(o_totalprice) AS sd_size, n_regionkey AS region
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey, n_regionkey""",
+    "run_table": """
+        SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'common' ELSE n_name END AS strain, CASE n_regionkey WHEN 4 THEN 'other' WHEN 3 THEN 'split' ELSE 'whole' END AS kind,
+          CAST(1 + length(c_mktsegment) % 4 AS INT) AS n_lineages, c_mktsegment AS segment, count(*) AS n_samples, CAST(sum(c_custkey % 7) AS BIGINT) AS in_strain
+        FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey, n_regionkey, c_mktsegment""",
     "predictions": "SELECT CAST(quality AS INT) AS label, CAST((n_chars % 41 - 20) / 10.0 AS DOUBLE) AS logit FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
     "mapping": "SELECT o_custkey AS sample, o_orderkey AS record, concat('/f/', CAST(o_orderkey AS STRING), '.parquet') AS file FROM orders",
 }

@@ -2,34 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions import measure, stats, text
 from cohortloom.operators import batching, cohort, contingency, metrics, pangenome, reconcile, resolve, rollup, split, testing, vectors
 
-from .adapters import adapted, with_adapters
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    """Registers a function of the adapters (``t(name)`` gives one) under its name."""
-
-    def register(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: adapted(spark, sf_dir, name))
-        if sql:
-            ORACLE_SQL[f.__name__] = with_adapters(sql.strip())
-        return f
-
-    return register
-
-
-def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
-
+from .registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 
 # Measurements and phenotypes
 
@@ -264,6 +242,11 @@ def ratio_sweep(t):  # noqa: ANN001, ANN201
     return cohort.ratio_sweep(_routed(t).where("thread = 'AMR'"), STRATUM)
 
 
+@query(f"SELECT * FROM ({_balanced_sql('2.0::DOUBLE')}) WHERE thread = 'AMR'")
+def ratio_sweep_rows(t):  # noqa: ANN001, ANN201
+    return cohort.swept(_routed(t).where("thread = 'AMR'"), STRATUM)[1].select("sample", "thread", "country", "category")
+
+
 @query(f"""WITH x AS ({_balanced_sql("2.0::DOUBLE")}), i AS (SELECT country, sum((category = '{S1}')::INT)::BIGINT AS init1, sum((category = '{S2}')::INT)::BIGINT AS init2 FROM ({ROUTED}) GROUP BY 1),
   f AS (SELECT country, sum((category = '{S1}')::INT)::BIGINT AS final1, sum((category = '{S2}')::INT)::BIGINT AS final2 FROM x GROUP BY 1)
   SELECT country, coalesce(init1, 0) AS init1, coalesce(init2, 0) AS init2, coalesce(final1, 0) AS final1, coalesce(final2, 0) AS final2,
@@ -610,7 +593,10 @@ def ratio_ends(t):  # noqa: ANN001, ANN201
     return contingency.ends(t("sample_meta").groupBy("country").agg(F.count(F.lit(1)).alias("n")), "n", "country", 3)
 
 
-@query("SELECT sample, feature FROM presence WHERE feature IN (SELECT feature FROM presence GROUP BY 1 HAVING count(DISTINCT sample) < 10)")
+@query("SELECT sample, feature FROM presence WHERE feature IN (SELECT feature FROM presence GROUP BY 1 HAVING count(DISTINCT sample) < 40)")
 def rare_features(t):  # noqa: ANN001, ANN201
     df = t("presence")
-    return df.join(pangenome.prevalent(df, "sample", "feature", 10).select("feature").distinct(), "feature", "left_anti").select("sample", "feature")
+    return df.join(pangenome.prevalent(df, "sample", "feature", 40).select("feature").distinct(), "feature", "left_anti").select("sample", "feature")
+
+
+from . import round_trips, smaller  # noqa: E402, F401  (they register their queries)

@@ -30,13 +30,19 @@ def delimited(spark: SparkSession, path: str, sep: str = ",", schema: StructType
 
 
 def delimited_with_rejects(spark: SparkSession, path: str, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
-    """Rows that fit, and the lines that have too many fields; short lines are filled with nulls."""
+    """Rows that fit, and those with too many fields (their first field and their line); short rows are filled with nulls.
+
+    Fields may be quoted, and a quote inside them is doubled. A row that equals the header is a row.
+    """
     names = _header(spark, path, sep)
-    lines = spark.read.text(path).where(F.length("value") > 0)
-    fields = F.split("value", f"\\Q{sep}\\E", -1)
-    rows = lines.where(F.col("value") != F.lit(sep.join(names))).withColumn("_f", fields)
-    good = rows.where(F.size("_f") <= len(names)).select(*[F.get("_f", F.lit(k)).alias(c) for k, c in enumerate(names)])
-    return nulls_normalised(good), rows.where(F.size("_f") > len(names)).select(F.col("value").alias("line"))
+    schema = StructType([StructField(c, StringType()) for c in [*names, _CORRUPT]])
+    options = {"sep": sep, "header": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "columnPruning": False}
+    rows = spark.read.options(**options).schema(schema).csv(path)
+    # Spark marks rows of any other length; separators outside of quotes tell long ones from short ones.
+    bare = F.regexp_replace(_CORRUPT, f'(?<=^|\\Q{sep}\\E)"(?:[^"]|"")*+"', "")
+    long = F.coalesce(F.size(F.split(bare, f"\\Q{sep}\\E", -1)) > len(names), F.lit(False))
+    first = F.col(f"`{names[0]}`")
+    return nulls_normalised(rows.where(~long).select(*[f"`{c}`" for c in names])), rows.where(long).select(first.alias("first"), F.col(_CORRUPT).alias("line"))
 
 
 def with_sample(df: DataFrame, ids: list[str], name: str = "Sample") -> DataFrame:
@@ -75,6 +81,12 @@ def first_files(files: DataFrame, n: int | None) -> DataFrame:
     return ordered.limit(n) if n and n > 0 else ordered
 
 
+def found_files(spark: SparkSession, folder: str, pattern: str, n: int | None = None) -> DataFrame:
+    """Files below a folder in order; with a positive n any n of them, without listing order, then sorted."""
+    files = listing(spark, folder, pattern, True)
+    return (files.limit(n) if n and n > 0 else files).orderBy("path")
+
+
 def samples_in(files: DataFrame, by: Column) -> DataFrame:
     """Different sample ids among files, by an expression over ``path``."""
     return files.select(by.alias("sample")).where("sample is not null and sample <> ''").distinct()
@@ -96,7 +108,7 @@ def parquet_profile(spark: SparkSession, path: str) -> DataFrame:
     """Files and bytes of a parquet folder, and its rows, from metadata."""
     df = spark.read.parquet(path)
     files = listing(spark, path, "*.parquet", True) if not path.endswith(".parquet") else spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes")).withColumn("n_rows", F.lit(df.count())).withColumn("n_columns", F.lit(len(df.columns)))
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes")).withColumn("n_rows", F.lit(df.count()).cast("long")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
 def shared_columns(frames: list[DataFrame]) -> list[str]:
@@ -105,11 +117,58 @@ def shared_columns(frames: list[DataFrame]) -> list[str]:
 
 
 def value_kinds(df: DataFrame) -> dict[str, str]:
-    """scalar, list or nested list, for each column."""
+    """scalar, string, list or nested list, for each column."""
     kind = lambda t: "nested list" if t.startswith("array<array") else "list" if t.startswith("array") else "string" if t == "string" else "scalar"
     return {c: kind(t) for c, t in df.dtypes}
 
 
+def value_profile(df: DataFrame) -> DataFrame:
+    """(``column``, ``kind``, ``n_known``, ``shortest``, ``longest``, ``n_elements``) of every column in one pass.
+
+    Lengths are characters of texts and entries of lists; elements of nested lists are those
+    of the inner ones. Scalars have none.
+    """
+    kinds, sums, rows = value_kinds(df), [], []
+    for k, (c, kind) in enumerate(kinds.items()):
+        x = F.col(f"`{c}`")
+        size = (F.length(x) if kind == "string" else F.when(x.isNotNull(), F.size(x)) if "list" in kind else F.lit(None)).cast("long")
+        inner = F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + F.coalesce(F.when(v.isNotNull(), F.size(v)), F.lit(0))) if kind == "nested list" else size
+        sums += [F.count(x).alias(f"_n{k}"), F.min(size).alias(f"_s{k}"), F.max(size).alias(f"_l{k}"), F.sum(inner).alias(f"_e{k}")]
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(f"_n{k}").alias("n_known"), F.col(f"_s{k}").alias("shortest"), F.col(f"_l{k}").alias("longest"), F.col(f"_e{k}").alias("n_elements")))
+    return df.agg(*sums).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+
+
+def footers(spark: SparkSession, folder: str) -> DataFrame:
+    """(``path``, ``n_bytes``, ``n_row_groups``, ``n_rows``, ``n_columns``) of parquet files, from their footers, read where tasks run."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for p, n in zip(b["path"], b["length"], strict=True):
+                system, inside = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+                with system.open_input_file(inside) as f:
+                    meta = pq.read_metadata(f)
+                out.append((p, n, meta.num_row_groups, meta.num_rows, len(meta.schema.to_arrow_schema())))
+            yield pd.DataFrame(out, columns=["path", "n_bytes", "n_row_groups", "n_rows", "n_columns"])
+
+    return listing(spark, folder, "*.parquet", True).mapInPandas(run, "path string, n_bytes bigint, n_row_groups bigint, n_rows bigint, n_columns bigint")
+
+
+def schema_rows(df: DataFrame) -> DataFrame:
+    """(``place``, ``column``, ``type``) of a table's columns."""
+    return df.sparkSession.createDataFrame([(k, c, t) for k, (c, t) in enumerate(df.dtypes, 1)], "place int, column string, type string")
+
+
+def annotated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Rows with their vectors, the table of samples, and the parameters that ``sinks.annotated`` wrote."""
+    params = {r.name: r.value for r in spark.read.parquet(f"{folder}/params").collect()}  # as many as were stated
+    return spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/samples"), params
+
+
 def parsed_files(spark: SparkSession, folder: str, parse, schema: str, pattern: str = "*") -> DataFrame:  # noqa: ANN001
     """Rows that ``parse(path, content)`` yields for each file; files are parsed where they are read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "content")

@@ -58,3 +58,23 @@ def rejects(df: DataFrame, path: str) -> int:
     """Writes the rows that failed, and returns how many there are."""
     df.write.mode("overwrite").option("header", True).csv(path)
     return df.sparkSession.read.option("header", True).csv(path).count() if df.columns else 0
+
+
+def per_group(df: DataFrame, path: str, column: str, reference: DataFrame | None = None, skip: tuple[str, ...] = ()) -> None:
+    """A delimited folder for each value of ``column`` but the skipped ones, each with the reference rows at its end."""
+    from cohortloom.operators.reconcile import with_reference
+
+    rows = df.where(F.col(column).isNotNull() & ~F.col(column).isin(*skip)) if skip else df.where(F.col(column).isNotNull())
+    if reference is not None:
+        # One name for each folder that is written.
+        groups = [r[0] for r in rows.select(column).distinct().orderBy(column).collect()]
+        rows = with_reference(rows, reference, groups, column) if groups else rows
+    rows.write.mode("overwrite").partitionBy(column).option("header", True).option("sep", "\t").csv(path)
+
+
+def annotated(rows: DataFrame, samples: DataFrame, params: dict[str, object], path: str) -> None:
+    """Rows with their vectors, the table of their samples, and the run's parameters as text, side by side as parquet."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    samples.write.mode("overwrite").parquet(f"{path}/samples")
+    pairs = [(str(k), str(v)) for k, v in sorted(params.items())]
+    rows.sparkSession.createDataFrame(pairs, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")

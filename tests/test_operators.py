@@ -267,3 +267,56 @@ def test_argmax_rows_with_text_ties(spark):
 
     df = spark.createDataFrame([("a", 2.0, "z"), ("a", 2.0, "b"), ("a", 1.0, "a"), ("c", None, "q")], "k string, m double, t string")
     assert [tuple(r) for r in rollup.argmax_rows(df, "k", "m", "t").collect()] == [("a", 2.0, "b")]
+
+
+def test_flag_must_be_known(spark):
+    df = spark.createDataFrame([(1, True), (2, False)], "id int, f boolean")
+    assert [r.id for r in cohort.flagged_only(df, "f").collect()] == [1]
+    with pytest.raises(Exception, match="f is null"):
+        cohort.flagged_only(df.union(spark.createDataFrame([(3, None)], df.schema)), "f").collect()
+    with pytest.raises(ValueError):
+        cohort.united([])
+    with pytest.raises(ValueError, match="no id is present"):
+        split.pruned(df, "id", spark.createDataFrame([(9,)], "id int"), required=True)
+
+
+def test_greedy_equals_a_loop(spark):
+    import random
+
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 30) for _ in range(500)]
+    got = {r.k: r.batch for r in batching.greedy(spark.createDataFrame(list(enumerate(sizes)), "k int, n bigint").repartition(7), "k", "n", 50).collect()}
+    total = batch = 0
+    for k, n in enumerate(sizes):
+        assert got[k] == batch
+        total += n
+        if total >= 50:
+            total, batch = 0, batch + 1
+    assert batching.greedy(spark.createDataFrame([], "k int, n bigint"), "k", "n", 50).collect() == []
+
+
+def test_running_sums(spark):
+    rows = [(float(k * 7 % 101), k) for k in range(101)]
+    out = ranking.running_sums(spark.createDataFrame(rows, "s double, n bigint").repartition(5), "s", {"up": "n"}).collect()
+    total = 0
+    for r in sorted(out, key=lambda r: r.s):
+        total += r.n
+        assert r.up == total
+    assert ranking.running_sums(spark.createDataFrame([], "s double, n bigint"), "s", {"up": "n"}).collect() == []
+
+
+def test_names_and_batches_of_one(spark):
+    names = text.run_names("A b", "C_vs_d", "/x", 0.1)
+    assert names["train"] == "/x/training_a_b_c_vs_d/train" and names["label"] == "a_b_vs_c_vs_d_label"
+    df = spark.createDataFrame([([[1.0, 2.0]],), ([],), (None,)], "m array<array<double>>")
+    assert [r.v for r in df.select(vectors.squeezed(F.col("m")).alias("v")).collect()] == [[1.0, 2.0], None, None]
+    with pytest.raises(Exception, match="more than one vector"):
+        spark.createDataFrame([([[1.0], [2.0]],)], "m array<array<double>>").select(vectors.squeezed(F.col("m"))).collect()
+    with pytest.raises(KeyError):
+        rollup.renamed(df, {"x": "y"})
+
+
+def test_tests_come_by_corrected_p(spark):
+    rows = [("a", 1.0, 1.0, 10, 1), ("b", 9.0, 1.0, 10, 1), ("c", 5.0, 1.0, 10, 1), ("r", 5.0, 1.0, 50, 2)]
+    out = testing.z_tests(spark.createDataFrame(rows, "g string, m double, s double, n bigint, k int"), "g", "m", "s", "n", "k").collect()
+    assert [r.g for r in out] in (["a", "b", "c"], ["b", "a", "c"]) and [r.p_bonferroni for r in out] == sorted(r.p_bonferroni for r in out)

@@ -19,6 +19,14 @@ def test_delimited_nulls_and_rejects(spark, tmp_path):
         readers.with_sample(good, ["missing"])
 
 
+def test_quoted_fields_and_rows_like_the_header(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text('id,x,y\n1,"a,b","say ""hi"""\nid,x,y\n2,p\n3,p,q,\n4,"u,v",w,z\n5,5" pipe,k\n')
+    good, bad = readers.delimited_with_rejects(spark, str(p), ",")
+    assert sorted(map(tuple, good.collect()), key=str) == sorted([("1", "a,b", 'say "hi"'), ("id", "x", "y"), ("2", "p", None), ("5", '5" pipe', "k")], key=str)
+    assert sorted((r["first"], r["line"]) for r in bad.collect()) == [("3", "3,p,q,"), ("4", '4,"u,v",w,z')]
+
+
 def test_label_sheet(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text("id,drug-a\nS1,1.0\nS2,\n")

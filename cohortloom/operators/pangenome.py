@@ -28,7 +28,7 @@ def _classes(pairs: DataFrame, sample: str, feature: str) -> DataFrame:
 
 
 def _pairs(df: DataFrame, sample: str, feature: str) -> DataFrame:
-    """Different pairs; all that reads them shares one exchange, so that the input is evaluated once."""
+    """Different pairs. Classes and counts share one exchange of them; the number of samples reads the input once more, for that column alone."""
     return df.select(sample, feature).where(F.col(sample).isNotNull() & F.col(feature).isNotNull()).distinct()
 
 

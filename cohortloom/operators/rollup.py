@@ -71,11 +71,14 @@ def profile(df: DataFrame, facets: list[str], top: int = 10) -> DataFrame:
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in facets])).alias("p")
     counts = df.select(pairs).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    # A rank with a limit is cut to ``top`` rows in each task before anything is shuffled.
-    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
-    known = counts.where("value is not null").withColumn("place", place).where(F.col("place") <= top).drop("place")
+    # Null comes first, so that one rank with a limit, cut in each task before anything is shuffled, serves all.
+    facet = Window.partitionBy("facet")
+    place = F.row_number().over(facet.orderBy(F.col("value").isNotNull(), F.desc("n"), "value"))
+    best = counts.withColumn("place", place).where(F.col("place") <= top + 1)
+    nulls = F.max(F.col("value").isNull().cast("int")).over(facet)  # over top + 1 rows
+    known = best.withColumn("nulls", nulls).where(F.col("value").isNull() | (F.col("place") - F.col("nulls") <= top)).drop("place", "nulls")
     total = counts.groupBy("facet").agg(F.sum("n").alias("total"))  # one row for each facet
-    out = known.unionByName(counts.where("value is null")).join(F.broadcast(total), "facet")
+    out = known.join(F.broadcast(total), "facet")
     return out.select("facet", "value", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 

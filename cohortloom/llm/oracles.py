@@ -6,12 +6,12 @@ from __future__ import annotations
 def op11(k: int = 16, rounds: int = 3) -> str:
     """Lloyd's rounds written out: every vector against every centroid."""
     parts = [
-        "kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings"
-        " WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64)",
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x FROM kept QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), x) <= {k})",
     ]
     for r in range(rounds + 1):
-        d = "CAST(list_sum(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+        d = "CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
         parts.append(f"a{r} AS MATERIALIZED (SELECT v.rid, min({d} * {k} + c.c) AS best FROM kept v CROSS JOIN c{r} c GROUP BY v.rid)")
         if r < rounds:
             parts.append(f"u{r} AS (SELECT a.best % {k} AS c, unnest(v.x) AS y, unnest(range(len(v.x))) AS i FROM a{r} a JOIN kept v USING (rid))")

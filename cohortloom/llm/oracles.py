@@ -23,3 +23,32 @@ def op11(k: int = 16, rounds: int = 3) -> str:
         f" CAST(sum(a.best // {k}) OVER (PARTITION BY a.best % {k}) AS BIGINT) AS cluster_inertia, CAST(sum(a.best // {k}) OVER () AS BIGINT) AS inertia,"
         f" sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN kept v USING (rid) JOIN c{rounds} c ON c.c = a.best % {k}"
     )
+
+
+def _crc(hexed: str) -> str:
+    """crc32 of bytes in hexadecimal: each byte is added to the register, then shifted out bit by bit."""
+    steps = f"flatten(list_transform(range(1, len({hexed}) // 2 + 1), lambda i: list_concat([CAST('0x' || substr({hexed}, 2 * i - 1, 2) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce(list_concat([4294967295], {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
+def op12() -> str:
+    """Turn after turn in each conversation, by a recursion that carries all deliveries so far."""
+    tries = " ".join(f"WHEN s + {after} >= repaired AND h{a + 2} % 3 <> 0 THEN {a}" for a, after in enumerate((0, 20, 60, 140, 300, 620), 1))
+    return (
+        "WITH RECURSIVE raw AS (SELECT conv_id, turn, hex(encode(coalesce(text, ''))) AS hexed, coalesce(CAST(conv_id AS VARCHAR), 'null') || ':' || coalesce(CAST(turn AS VARCHAR), 'null') AS own FROM conversations),"
+        f" summed AS MATERIALIZED (SELECT conv_id, turn, {_crc('hexed')} AS crc, own FROM raw),"
+        " placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, crc) - 1 AS p FROM summed),"
+        " keyed AS (SELECT DISTINCT own, k, hex(encode(k || ':' || own)) AS hexed FROM placed, range(9) AS r(k)),"
+        f" hashed AS (SELECT own, k, {_crc('hexed')} AS h FROM keyed),"
+        f" wide AS MATERIALIZED (SELECT own, {', '.join(f'max(h) FILTER (k = {k}) AS h{k}' for k in range(9))} FROM hashed GROUP BY own),"
+        " turns AS MATERIALIZED (SELECT conv_id, turn, crc, p, h0 % 5 AS back, h1 % 101 < 50 AS faulty, 7 * p + h2 % 101 AS repaired, h3, h4, h5, h6, h7, h8 FROM placed JOIN wide USING (own)),"
+        " walk AS (SELECT conv_id, -1 AS p, CAST(NULL AS BIGINT) AS turn, CAST(0 AS BIGINT) AS crc, CAST(NULL AS BIGINT) AS x, CAST(NULL AS BIGINT) AS s, 0 AS a, CAST([] AS BIGINT[]) AS came FROM (SELECT DISTINCT conv_id FROM turns)"
+        " UNION ALL SELECT conv_id, p, turn, crc, x, s, a, list_append(came, CASE WHEN x = -2 OR a = 7 THEN -2 ELSE s + [0, 20, 60, 140, 300, 620][a] END) FROM"
+        f" (SELECT *, CASE WHEN NOT faulty THEN 1 {tries} ELSE 7 END AS a FROM (SELECT *, greatest(7 * p, x) AS s FROM"
+        " (SELECT t.*, w.came, CASE WHEN t.back = 0 OR t.back > t.p THEN -1 ELSE w.came[t.p - t.back + 1] END AS x FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.p = w.p + 1)))),"
+        " done AS (SELECT conv_id, turn, p, crc, CASE WHEN x = -2 THEN 'blocked' WHEN a = 7 THEN 'dead' ELSE 'delivered' END AS status, CASE WHEN x = -2 THEN 0 ELSE least(a, 6) END AS attempts,"
+        " CASE WHEN x <> -2 THEN s END AS first_at, CASE WHEN x <> -2 THEN s + [0, 20, 60, 140, 300, 620][least(a, 6)] END AS last_at FROM walk WHERE p >= 0),"
+        " ranked AS (SELECT *, CASE WHEN status = 'delivered' THEN row_number() OVER (PARTITION BY conv_id, status ORDER BY last_at, turn NULLS LAST, p) END AS release_no FROM done)"
+        " SELECT conv_id, turn, status, CAST(attempts AS INTEGER) AS attempts, first_at, last_at, release_no,"
+        " CASE WHEN status = 'delivered' THEN CAST(sum(release_no * crc) OVER (PARTITION BY conv_id, status ORDER BY release_no) AS BIGINT) END AS state FROM ranked"
+    )

@@ -77,6 +77,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quarantine_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .replay import replay
+
+    return replay(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -89,6 +95,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quarantine_release": op12_quarantine_release,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_centroid_clustering": oracles.op11()}
+ORACLE_SQL: dict[str, str] = {"op11_centroid_clustering": oracles.op11(), "op12_quarantine_release": oracles.op12()}

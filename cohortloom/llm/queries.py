@@ -83,6 +83,12 @@ def op12_quarantine_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(table(spark, sf_dir, "conversations"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -96,6 +102,11 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_quarantine_release": op12_quarantine_release,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_centroid_clustering": oracles.op11(), "op12_quarantine_release": oracles.op12()}
+ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": oracles.op11(),
+    "op12_quarantine_release": oracles.op12(),
+    "op13_ngram_jaccard_join": oracles.op13(),
+}

@@ -62,8 +62,8 @@ def op13() -> str:
         " sets AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]"
         " ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM split),"
         " one AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS x FROM sets),"
-        " both AS (SELECT a.r AS a, b.r AS b, a.n + b.n AS n, count(*) AS c FROM one a JOIN one b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r, a.n + b.n),"
-        " links AS MATERIALIZED (SELECT a, b FROM both WHERE 100 * c >= 85 * (n - c)),"
+        " met AS (SELECT a.r AS a, b.r AS b, a.n + b.n AS n, count(*) AS c FROM one a JOIN one b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r, a.n + b.n),"
+        " links AS MATERIALIZED (SELECT a, b FROM met WHERE 100 * c >= 85 * (n - c)),"
         " edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),"
         " reach AS (SELECT r AS a, r AS b FROM sets UNION SELECT q.a, e.b FROM reach q JOIN edges e ON q.b = e.a)"
         " SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least.d AS component_id FROM sets s"

@@ -6,6 +6,8 @@ from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranking import rank_within
+
 
 def mean_pool(df: DataFrame, key: str, embedding: str) -> DataFrame:
     """Mean vector of each key. Sums are combined by dimension before anything is shuffled."""
@@ -27,8 +29,8 @@ def exploded(df: DataFrame, key: str, matrix: str) -> DataFrame:
 
 def gene_rows(df: DataFrame, sample: str, gene: str, embedding: str) -> DataFrame:
     """Numbers the vectors of each sample from 0 by ``gene``."""
-    w = Window.partitionBy(sample).orderBy(gene)
-    return df.select(sample, gene, (F.row_number().over(w) - 1).alias("gene_idx"), embedding)
+    ranked = rank_within(df.select(sample, gene, embedding), [sample], [F.col(gene)], "_rank")
+    return ranked.select(sample, gene, (F.col("_rank") - 1).alias("gene_idx"), embedding)
 
 
 def padded(df: DataFrame, batch: str, column: str, fill: float = 0.0) -> DataFrame:

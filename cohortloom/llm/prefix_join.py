@@ -123,11 +123,23 @@ def _mapped(docs: DataFrame, whole: bool, similar: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, n int, {lists}")
 
 
-def _sieve(distinct: DataFrame, prints: DataFrame) -> DataFrame:
-    """Ids of sets that may have a partner."""
-    one = prints.join(distinct.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "need", F.explode("pre").alias("x"))
-    shared = one.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("x")
-    return one.join(shared.hint("shuffle_hash"), "x").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("id")
+def _sieved(cand: DataFrame, space: Workspace) -> DataFrame:
+    """Ids of sets that may have a partner, of rows (``id``, ``need``, ``pre``) in the table ``cand0``.
+
+    What goes was the only company of some of the rest, so the sieve is used again while it takes a tenth.
+    """
+    n, k = None, 0
+    while True:
+        one = cand.select("id", F.explode("pre").alias("x"))
+        shared = one.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("x")
+        met = one.join(shared.hint("shuffle_hash"), "x").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+        left, (now,) = space.save_counted(met.join(cand.select("id", "need"), "id").where("c >= need").select("id"), f"left{k}", heavy=True)
+        if not now or n is not None and now > 0.9 * n:
+            space.drop(f"cand{k}")
+            return left
+        rest = space.save(cand.join(left.hint("shuffle_hash"), "id", "left_semi"), f"cand{k + 1}", heavy=True)
+        space.drop(f"cand{k}", f"left{k}")
+        cand, k, n = rest, k + 1, now
 
 
 def _ordered(sets: DataFrame, similar: int) -> DataFrame:
@@ -144,8 +156,10 @@ def _ordered(sets: DataFrame, similar: int) -> DataFrame:
 
 def _grouped(ordered: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
     """Groups (``g``, ``n``, ``alone``, ``pre``, ``size``) and members (``id``, ``g``); a group is named after its smallest member."""
+    ordered = space.save(ordered, "ordered", heavy=True)
     groups = space.save(ordered.groupBy("n", "alone", "pre").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("size")), "groups")
     members = space.save(ordered.join(groups, ["n", "alone", "pre"]).select("id", "g"), "members")
+    space.drop("ordered")
     return groups, members
 
 
@@ -234,12 +248,15 @@ def similar_documents(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     prints = space.save(_mapped(docs, False, similar).withColumn("row", F.monotonically_increasing_id()), "prints")
     distinct = space.save(prints.where("n > 0").groupBy("digest").agg(F.min("row").alias("id"), F.min("doc_id").alias("first")), "distinct")
-    left = space.save(distinct.join(_sieve(distinct, prints), "id", "left_semi"), "left")
+    cand = space.save(prints.join(distinct.select(F.col("id").alias("row")).hint("shuffle_hash"), "row", "left_semi").select(F.col("row").alias("id"), "need", "pre"), "cand0", heavy=True)
+    rows = space.save(prints.select("doc_id", "digest", "n"), "rows")
+    space.drop("prints")
+    left = space.save(distinct.join(_sieved(cand, space), "id", "left_semi"), "left")
     wanted = left.select(F.col("first").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     # Rows with one doc_id may have other texts; only the sets that were asked for count.
-    sets = _mapped(texts, True, similar).select("digest", "n", "s", "map").join(left.select("digest", "id"), "digest").dropDuplicates(["id"])
-    sets = space.save(sets.select("id", "n", "s", "map"), "sets")
+    sets = _mapped(texts, True, similar).select("digest", "n", "s", "map").join(left.select("digest", "id"), "digest").dropDuplicates(["digest"])
+    sets = space.save(sets.select("id", "n", "s", "map"), "sets", heavy=True)
     groups, members = _grouped(_ordered(sets, similar), space)
     few = space.save(sets.join(members.select("id"), "id", "left_semi"), "few")
     space.drop("sets")
@@ -248,6 +265,6 @@ def similar_documents(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     named = distinct.join(found, "id", "left").select("id", "digest", "first", F.coalesce("component", "id").alias("c"))
     least_id = named.groupBy("c").agg(F.min("first").alias("component_id"))
     named = space.save(named.join(least_id, "c").select("digest", "component_id"), "named")
-    out = prints.where("n > 0").join(named, "digest").select("doc_id", "n", "component_id")
-    empty = prints.where("n = 0").select("doc_id", "n", F.col("doc_id").cast(kind).alias("component_id"))
+    out = rows.where("n > 0").join(named, "digest").select("doc_id", "n", "component_id")
+    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").cast(kind).alias("component_id"))
     return out.unionByName(empty).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")

@@ -58,11 +58,11 @@ class Workspace:
         """
         return self._written(df, name, by, heavy, grouped)
 
-    def save_counted(self, df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, tuple]:
+    def save_counted(self, df: DataFrame, name: str, *sums: Column, heavy: bool = False) -> tuple[DataFrame, tuple]:
         """The same, with aggregates over the rows that are taken while they are written."""
         seen = Observation()
         named = [c.alias(f"s{k}") for k, c in enumerate(sums)]
-        out = self._written(df.observe(seen, F.count(F.lit(1)).alias("n"), *named), name)
+        out = self._written(df.observe(seen, F.count(F.lit(1)).alias("n"), *named), name, heavy=heavy)
         return out, tuple(seen.get[k] for k in ("n", *(f"s{k}" for k in range(len(sums)))))
 
     def _written(self, df: DataFrame, name: str, by: list[str] | None = None, heavy: bool = False, grouped: bool = False) -> DataFrame:

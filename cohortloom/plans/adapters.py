@@ -32,7 +32,7 @@ SQL = {
         SELECT p_partkey AS record, CASE WHEN p_partkey % 3 = 0 THEN concat('SAM', CAST(p_partkey AS STRING))
           ELSE concat('GCF_', lpad(CAST(CAST(floor(p_partkey / 2.0) AS BIGINT) AS STRING), 9, '0'), '.1_ASM', CAST(p_size AS STRING)) END AS accession,
           CASE WHEN p_partkey % 7 = 0 THEN 'true' ELSE 'false' END AS downloaded FROM part""",
-    "stems": "SELECT concat('_', lpad(CAST(p_partkey AS STRING), 9, '0')) AS stem FROM part",
+    "stems": "SELECT concat('_', lpad(CAST(p_partkey AS STRING), 9, '0')) AS stem FROM part WHERE p_partkey * 7919 % 101 < 50",
     "path_list": """
         SELECT p_partkey AS record, concat('/a/b/', CASE WHEN p_partkey % 2 = 0 THEN 'GCF_' ELSE 'X_' END, CAST(p_partkey AS STRING), '.1_ASM',
           CASE p_partkey % 3 WHEN 0 THEN '.fa.gz' WHEN 1 THEN '.fna.gz' ELSE '.bakta.gff3.gz' END) AS path FROM part""",
@@ -41,6 +41,7 @@ SQL = {
           SELECT o_custkey AS sample, concat('T:', p_type) AS feature FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
           UNION ALL SELECT o_custkey, concat('B:', p_brand) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
           UNION ALL SELECT o_custkey, concat('C:', p_brand, '/', p_type, '/', CAST(p_size AS STRING)) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) x""",
+    "brand_presence": "SELECT DISTINCT o_custkey AS sample, p_brand AS feature FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey",
     "genes": "SELECT CAST(label AS BIGINT) AS sample, vec_id AS gene, embedding FROM embeddings",
     "baskets": "SELECT o_custkey AS sample, o_orderkey AS record, CAST(l_quantity AS DOUBLE) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "run_summary": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions import measure, stats, text
-from cohortloom.operators import batching, cohort, contingency, metrics, pangenome, reconcile, resolve, rollup, split, testing, vectors
+from cohortloom.operators import batching, cohort, communities, contingency, metrics, neighbours, pangenome, reconcile, resolve, rollup, split, testing, vectors
 
 from .registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 
@@ -412,10 +412,10 @@ def mean_pool(t):  # noqa: ANN001, ANN201
     return out.select("sample", F.col("i").cast("bigint").alias("i"), *r6("x"))
 
 
-@query("SELECT sample, gene, row_number() OVER (PARTITION BY sample ORDER BY gene) - 1 AS gene_idx, round(embedding[1]::DOUBLE, 6) AS first FROM genes")
+@query("SELECT sample, gene, gene_idx, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY gene) - 1 AS gene_idx FROM genes)")
 def gene_explode(t):  # noqa: ANN001, ANN201
     rows = vectors.gene_rows(t("genes"), "sample", "gene", "embedding")
-    return rows.select("sample", "gene", F.col("gene_idx").cast("bigint").alias("gene_idx"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+    return rows.select("sample", "gene", F.col("gene_idx").cast("bigint").alias("gene_idx"), F.posexplode("embedding").alias("dim", "x")).select("sample", "gene", "gene_idx", F.col("dim").cast("bigint").alias("dim"), F.col("x").cast("double").alias("x"))
 
 
 @query("SELECT g.gene, g.sample, m.country, m.host FROM genes g LEFT JOIN sample_meta m ON g.sample = m.sample")
@@ -445,6 +445,26 @@ def nearest_vectors(t):  # noqa: ANN001, ANN201
     return vectors.nearest(g.where("gene % 50 = 0"), g, "gene", "embedding", 5).select("query", "gene", *r6("cosine"))
 
 
+@query("""SELECT id, neighbour, CAST(k AS INT) AS rank, round(d, 6) AS distance FROM (SELECT a.gene AS id, b.gene AS neighbour, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
+  row_number() OVER (PARTITION BY a.gene ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.gene) AS k FROM genes a JOIN genes b ON a.gene <> b.gene) WHERE k <= 15""")
+def neighbour_graph(t):  # noqa: ANN001, ANN201
+    """All rows against all rows."""
+    return neighbours.graph(t("genes"), "gene", "embedding", 15, 64).select("id", "neighbour", "rank", *r6("distance"))
+
+
+@query("""SELECT id, neighbour, CAST(k AS INT) AS rank, round(1 - s, 6) AS distance FROM (SELECT a.gene AS id, b.gene AS neighbour, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s,
+  row_number() OVER (PARTITION BY a.gene ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.gene) AS k FROM genes a JOIN genes b ON a.gene <> b.gene) WHERE k <= 5""")
+def cosine_graph(t):  # noqa: ANN001, ANN201
+    return neighbours.graph(t("genes"), "gene", "embedding", 5, 64, "cosine").select("id", "neighbour", "rank", *r6("distance"))
+
+
+@query(None)
+def neighbour_communities(t):  # noqa: ANN001, ANN201
+    """Communities of the weighted neighbour graph; SQL has no equal, tests hold them against a greedy pass."""
+    knn = neighbours.graph(t("genes"), "gene", "embedding", 15, 64)
+    return communities.communities(neighbours.connectivities(knn))
+
+
 # Contingency tables
 
 
@@ -513,8 +533,7 @@ def prevalence_filter(t):  # noqa: ANN001, ANN201
 
 @query("SELECT region, strain, n FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY n DESC, strain) AS k FROM run_summary) WHERE k = 1")
 def argmax_per_group(t):  # noqa: ANN001, ANN201
-    numbered = t("run_summary").withColumn("ord", F.ascii("strain").cast("long") * 65536 + F.ascii(F.substring("strain", 2, 1)) * 256 + F.ascii(F.substring("strain", 3, 1)))
-    return rollup.argmax_rows(numbered, "region", "n", "ord").select("region", "strain", "n")
+    return rollup.argmax_rows(t("run_summary"), "region", "n", "strain").select("region", "strain", "n")
 
 
 @query("SELECT round(sum(n * mean_size) / sum(n), 4) AS mean, round(sum(n * n * sd_size * sd_size / n) / (sum(n) * sum(n)), 4) AS var FROM run_summary WHERE n > 1 AND sd_size > 0")
@@ -523,17 +542,27 @@ def weighted_mean(t):  # noqa: ANN001, ANN201
     return rollup.weighted_mean(rows, "mean_size", "n", "v").select(F.round("mean", 4).alias("mean"), F.round("var", 4).alias("var"))
 
 
-_T = "(1 / (1 + 0.3275911::DOUBLE * x))"
-_ERFC = f"({_T} * (0.254829592::DOUBLE + {_T} * (-0.284496736::DOUBLE + {_T} * (1.421413741::DOUBLE + {_T} * (-1.453152027::DOUBLE + {_T} * 1.061405429::DOUBLE)))) * exp(-x * x))"
+# Tails by other ways than the library's: a series without cancellation below 2.5, a continued fraction above.
+_SERIES = "1 - 2 / sqrt(pi()) * x * exp(-x * x) * list_reduce(list_concat([1.0::DOUBLE], list_reverse(range(1, 80))), lambda s, n: 1 + s * 2 * x * x / (2 * n + 1))"
+_CONTINUED = "exp(-x * x) / sqrt(pi()) / list_reduce(list_concat([x], list_reverse(range(1, 150))), lambda f, n: x + n / 2.0::DOUBLE / f)"
+_ERFC = f"CASE WHEN x < 2.5 THEN {_SERIES} ELSE {_CONTINUED} END"
 
 
 @query(f"""WITH r AS (SELECT *, sd_size * sd_size / n AS v FROM run_summary WHERE n > 1 AND sd_size > 0), q AS (SELECT sum(n * mean_size) / sum(n) AS rm, sum(n * n * v) / (sum(n) * sum(n)) AS rv FROM r WHERE n_lineages > 1),
   k AS (SELECT strain, mean_size - rm AS d, sqrt(v + rv) AS se, (SELECT count(*) FROM r WHERE n_lineages = 1) AS m FROM r, q WHERE n_lineages = 1), e AS (SELECT *, abs(d / se) / sqrt(2.0::DOUBLE) AS x FROM k), p AS (SELECT *, {_ERFC} AS p FROM e)
-  SELECT strain, round(d, 4) AS difference, round(d / se, 5) AS z, round(p, 5) AS p, round(least(p * m, 1.0), 5) AS p_bonferroni, round(d - 1.96::DOUBLE * se, 4) AS ci_low, round(d + 1.96::DOUBLE * se, 4) AS ci_high FROM p""")
+  SELECT strain, round(d, 4) AS difference, round(d / se, 6) AS z, round(p, 12) AS p, round(log10(p), 8) AS log_p, round(least(p * m, 1.0), 12) AS p_bonferroni, round(d - 1.96::DOUBLE * se, 4) AS ci_low, round(d + 1.96::DOUBLE * se, 4) AS ci_high FROM p""")
 def z_test(t):  # noqa: ANN001, ANN201
-    out = testing.z_tests(t("run_summary"), "strain", "mean_size", "sd_size", "n", "n_lineages", exact=False)
-    four, five = lambda c: F.round(c, 4).alias(c), lambda c: F.round(c, 5).alias(c)
-    return out.select("strain", four("difference"), five("z"), five("p"), five("p_bonferroni"), four("ci_low"), four("ci_high"))
+    out = testing.z_tests(t("run_summary"), "strain", "mean_size", "sd_size", "n", "n_lineages")
+    r = lambda c, n, name=None: F.round(c, n).alias(name or c)
+    return out.select("strain", r("difference", 4), r("z", 6), r("p", 12), r(F.log10("p"), 8, "log_p"), r("p_bonferroni", 12), r("ci_low", 4), r("ci_high", 4))
+
+
+@query(f"""WITH e AS (SELECT record, x / 2.0::DOUBLE AS x FROM baskets), k AS (SELECT DISTINCT x FROM e), p AS (SELECT x, {_ERFC} AS p FROM k)
+  SELECT round(x, 6) AS x, count(*) AS n, round(min(log10(p)), 8) AS log_p FROM e JOIN p USING (x) GROUP BY 1""")
+def normal_tails(t):  # noqa: ANN001, ANN201
+    """Tails far out, where p-values have up to 300 zeros."""
+    rows = t("baskets").select((F.col("x") / 2).alias("x"))
+    return rows.groupBy(F.round("x", 6).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min(F.log10(stats.erfc(F.col("x")))), 8).alias("log_p"))
 
 
 @query("SELECT bin, count(*) AS n FROM (SELECT CASE WHEN logit >= -2 AND logit < 2 THEN CAST(floor((logit + 2) / 0.5) AS INT) WHEN logit = 2 THEN 7 END AS bin FROM predictions) WHERE bin IS NOT NULL GROUP BY 1")

@@ -81,12 +81,13 @@ def samples_in_files(t, spark, folder):  # noqa: ANN001, ANN201
     return readers.samples_in(files, parent_name(F.col("path")))
 
 
-@query("SELECT 4::BIGINT AS n_found, true AS in_order", written=True)
+@query("SELECT DISTINCT 'segment=' || segment AS folder, true AS in_order FROM expected_ids", written=True)
 def found_files(t, spark, folder):  # noqa: ANN001, ANN201
+    """Every file below a folder, by name; of the few names the order is looked at as well."""
     sinks.partitioned(t("expected_ids"), folder + "/a", ["segment"])
-    found = readers.found_files(spark, folder + "/a", "*.parquet", 4)
-    paths = F.collect_list("path")  # four of them
-    return found.agg(F.count(F.lit(1)).alias("n_found"), (paths == F.sort_array(paths)).alias("in_order"))
+    paths = [r[0] for r in readers.found_files(spark, folder + "/a", "*.parquet").select("path").collect()]
+    found = spark.createDataFrame([(p,) for p in paths], "path string")
+    return found.select(parent_name(F.col("path")).alias("folder"), F.lit(paths == sorted(paths)).alias("in_order")).distinct()
 
 
 @query("SELECT segment, sample, accession FROM expected_ids", written=True)
@@ -121,10 +122,13 @@ def replaced_in_place(t, spark, folder):  # noqa: ANN001, ANN201
     return readers.delimited(spark, folder + "/a", "\t")
 
 
-@query("SELECT gene, embedding[1]::DOUBLE AS dim_0, embedding[2]::DOUBLE AS dim_1, embedding[8]::DOUBLE AS dim_7 FROM genes", written=True)
+DIMS = 64
+
+
+@query(f"SELECT gene, {', '.join(f'embedding[{k + 1}]::DOUBLE AS dim_{k}' for k in range(DIMS))} FROM genes", written=True)
 def wide_matrix(t, spark, folder):  # noqa: ANN001, ANN201
-    sinks.wide_matrix(t("genes"), "gene", "embedding", 8, folder + "/a")
-    return readers.parquet(spark, folder + "/a").select("gene", *[F.col(f"dim_{k}").cast("double").alias(f"dim_{k}") for k in (0, 1, 7)])
+    sinks.wide_matrix(t("genes"), "gene", "embedding", DIMS, folder + "/a")
+    return readers.parquet(spark, folder + "/a").select("gene", *[F.col(f"dim_{k}").cast("double").alias(f"dim_{k}") for k in range(DIMS)])
 
 
 @query("""SELECT split, count(*) AS n, sum(gene)::BIGINT AS total FROM (SELECT gene, CASE WHEN k <= floor(0.7::DOUBLE * n) THEN 'train' WHEN k <= floor(0.7::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'validate' ELSE 'evaluate' END AS split
@@ -140,9 +144,9 @@ def batch_files(t, spark, folder):  # noqa: ANN001, ANN201
     return spark.read.text(folder + "/a")
 
 
-@query("SELECT CAST(sample AS VARCHAR) AS customer, feature AS sample FROM presence WHERE feature LIKE 'B:%'", written=True)
+@query("SELECT CAST(sample AS VARCHAR) AS customer, feature AS sample FROM brand_presence", written=True)
 def presence_matrix(t, spark, folder):  # noqa: ANN001, ANN201
-    pairs = t("presence").where("feature like 'B:%'").select(F.col("sample").alias("customer"), "feature")
+    pairs = t("brand_presence").select(F.col("sample").alias("customer"), "feature")
     wide = pairs.groupBy("customer").pivot("feature").agg(F.count(F.lit(1))).na.fill(0)
     sinks.delimited(wide, folder + "/a", "\t")
     return readers.presence_matrix(spark, folder + "/a")

@@ -121,9 +121,10 @@ def _rows(t, rows: list, schema: str) -> DataFrame:  # noqa: ANN001
     return t("run_summary").sparkSession.createDataFrame(rows, schema)
 
 
-@query("SELECT unnest([0.0, 2.0, 4.0])::DOUBLE AS ratio, unnest([0.0, 0.5, 0.25])::DOUBLE AS low, unnest(['inf', '2', '4'])::DOUBLE AS high")
+@query("SELECT record, n AS ratio, CASE WHEN n <= 0 THEN 0 ELSE 1 / n END::DOUBLE AS low, CASE WHEN n <= 0 THEN 'inf'::DOUBLE ELSE n END AS high FROM (SELECT record, x - 10 AS n FROM baskets)")
 def ratio_bounds(t):  # noqa: ANN001, ANN201
-    return _rows(t, [(r, *map(float, stats.ratio_bounds(r))) for r in (0.0, 2.0, 4.0)], "ratio double, low double, high double")
+    low, high = stats.bounds_of(F.col("x") - 10)
+    return t("baskets").select("record", (F.col("x") - 10).alias("ratio"), low.alias("low"), high.alias("high"))
 
 
 @query("SELECT unnest(['steps_per_epoch', 'total_steps', 'warmup_steps']) AS name, unnest([(n + 15) // 16 // 4, (n + 15) // 16 // 4 * 10, CAST(floor((n + 15) // 16 // 4 * 10 * 0.1::DOUBLE) AS BIGINT)])::BIGINT AS n FROM (SELECT count(*) AS n FROM ast_records)")
@@ -145,12 +146,14 @@ def matching_categories(t):  # noqa: ANN001, ANN201
     return resolve.matching(t("sample_meta"), "category", "rectal")
 
 
-@query("""WITH s AS (SELECT unnest([10, 90, 180])::BIGINT AS size), k AS (SELECT size, CAST(floor(0.7::DOUBLE * size) AS BIGINT) AS a, CAST(floor(0.1::DOUBLE * size) AS BIGINT) AS b FROM s)
-  SELECT size, 'train' AS split, a AS n FROM k UNION ALL SELECT size, 'validate', b FROM k UNION ALL SELECT size, 'evaluate', size - a - b FROM k""")
+@query("""WITH s AS (SELECT segment, count(DISTINCT sample) AS size FROM expected_ids GROUP BY 1), k AS (SELECT segment, size, CAST(floor(0.7::DOUBLE * size) AS BIGINT) AS a, CAST(floor(0.1::DOUBLE * size) AS BIGINT) AS b FROM s)
+  SELECT segment, 'train' AS split, a AS n FROM k WHERE a > 0 UNION ALL SELECT segment, 'validate', b FROM k WHERE b > 0 UNION ALL SELECT segment, 'evaluate', size - a - b FROM k""")
 def split_sizes(t):  # noqa: ANN001, ANN201
-    spark = t("run_summary").sparkSession
-    one = lambda n: split.with_splits(spark.range(n), "id", name="split").groupBy(F.lit(n).cast("long").alias("size"), "split").agg(F.count(F.lit(1)).alias("n"))
-    return cohort.united([one(n) for n in (10, 90, 180)])
+    """Each segment is split on its own; there are five."""
+    df = t("expected_ids").select("segment", "sample")
+    names = sorted(r[0] for r in df.select("segment").distinct().collect())
+    one = lambda s: split.with_splits(df.where(F.col("segment") == s), "sample", name="split").groupBy("segment", "split").agg(F.count(F.lit(1)).alias("n"))
+    return cohort.united([one(s) for s in names])
 
 
 SPLIT = """SELECT sample, CASE WHEN k <= floor(0.7::DOUBLE * n) THEN 'train' WHEN k <= floor(0.7::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'validate' ELSE 'evaluate' END AS split
@@ -186,10 +189,10 @@ def value_profile(t):  # noqa: ANN001, ANN201
     return readers.value_profile(df)
 
 
-@query("SELECT gene, embedding[1]::DOUBLE AS first, len(embedding)::INT AS size FROM genes")
+@query("SELECT gene, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM genes")
 def squeezed_vectors(t):  # noqa: ANN001, ANN201
     v = vectors.squeezed(vectors.unsqueezed(F.col("embedding").cast("array<double>")))
-    return t("genes").select("gene", F.get(v, F.lit(0)).alias("first"), F.size(v).alias("size"))
+    return t("genes").select("gene", F.posexplode(v).alias("dim", "x"))
 
 
 @query("SELECT gene, CASE WHEN sample % 3 = 0 THEN sample WHEN sample % 3 = 1 THEN gene ELSE 0 END::BIGINT AS idx FROM genes")
@@ -219,7 +222,7 @@ def summary_prepared(t):  # noqa: ANN001, ANN201
 @query("""WITH r AS (SELECT *, sd_size * sd_size / n AS v FROM run_summary WHERE n > 1 AND sd_size > 0), q AS (SELECT sum(n * n * v) / (sum(n) * sum(n)) AS rv FROM r WHERE n_lineages > 1)
   SELECT strain, round(1.96::DOUBLE * sqrt(v + rv), 4) AS lower, round(1.96::DOUBLE * sqrt(v + rv), 4) AS upper FROM r, q WHERE n_lineages = 1""")
 def error_bars(t):  # noqa: ANN001, ANN201
-    out = testing.error_bars(testing.z_tests(t("run_summary"), "strain", "mean_size", "sd_size", "n", "n_lineages", exact=False))
+    out = testing.error_bars(testing.z_tests(t("run_summary"), "strain", "mean_size", "sd_size", "n", "n_lineages"))
     return out.select("strain", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
 

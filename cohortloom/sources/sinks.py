@@ -32,8 +32,12 @@ def replaced(df: DataFrame, path: str, sep: str = "\t") -> None:
 
 
 def partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
-    """One dataset with a folder for each value; rows of a value are gathered before they are written."""
-    df.repartition(*by).write.mode(mode).partitionBy(*by).option("compression", "snappy").parquet(path)
+    """One dataset with a folder for each value; rows of a value are gathered before they are written.
+
+    Rows are rebalanced: adaptive execution splits what one value has beyond the advisory size of a
+    partition and joins small ones, so a value has as many files as its bytes ask for.
+    """
+    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).option("compression", "snappy").parquet(path)
 
 
 def split_dataset(embeddings: DataFrame, sheet: DataFrame, id: str, path: str, split: str = "train_val_eval") -> None:

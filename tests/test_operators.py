@@ -201,11 +201,17 @@ def test_z_tests(spark):
     se = math.sqrt(4 / 5 + 4 / 9)
     assert out["a"].p == pytest.approx(math.erfc(abs(-1 / se) / math.sqrt(2)), rel=1e-9) and out["b"].p < 1e-30
     assert out["a"].p_bonferroni == pytest.approx(min(1, 2 * out["a"].p))
-    approx = {r.g: r for r in testing.z_tests(df, "g", "size_mean", "size_sd", "n", "k", exact=False).collect()}
-    assert abs(approx["a"].p - out["a"].p) < 2e-7
+    assert out["b"].p == pytest.approx(math.erfc(abs(out["b"].z) / math.sqrt(2)), rel=1e-12, abs=0)
     assert testing.z_tests(df.where("k = 1"), "g", "size_mean", "size_sd", "n", "k").count() == 0
 
 
+def test_erfc_to_full_precision(spark):
+    xs = [k / 50 for k in range(1340)] + [0.46875, 4.0, 1e-9, 30.0]
+    rows = frame(spark, [(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(math.erfc(r.x), rel=1e-13, abs=1e-300) for r in rows)
+    assert frame(spark, [(None,)], "x double").select(stats.erfc(F.col("x"))).first()[0] is None
+
+
 def test_binary_metrics(spark):
     df = frame(spark, [(2.0, 1), (1.0, 0), (1.0, 1), (-1.0, 0), (5.0, -100)], "l double, y int")
     r = metrics.binary_metrics(df, "l", "y").first()

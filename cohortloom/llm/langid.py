@@ -18,7 +18,6 @@ grow with the length of a text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 SAMPLE = 6000
 FOLDS, HELD_OUT = 5, 0
 _REACH = WINDOW + max(WIDTHS) - 1
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -184,7 +182,7 @@ def languages(docs: DataFrame, net: Network | None, block: int = 2 << 20) -> Dat
 
             for k, v in enumerate(b.column(1)):
                 text = v.as_py()
-                if reader is None or not text or not _LETTER.search(text):
+                if reader is None or not text or not any(map(str.isalpha, text)):
                     continue
                 texts.append(text.encode())
                 rows.append(k)

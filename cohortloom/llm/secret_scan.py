@@ -37,7 +37,12 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 # Possessive, so that no run is tried in more than one way.
 _ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:(?:[0-9A-F]{2}){20,}+|(?:[0-9a-f]{2}){20,}+)(?![0-9A-Za-z])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.[A-Za-z0-9_-]*+")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([^-]*)-----END \1-----")
+_FENCE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)-----")
+# Lines of a run, broken by line ends or by their escapes, and what quotes or comments put before a line.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}+(?:\r?+\n|(?:\\r)?+\\n)[\x20\t>#*|]*+)++[A-Za-z0-9+/]*+={0,2}")
+_BREAK = re.compile(r"\\r|\\n|[\s>#*|\"',\\]")
+#: The least bytes of a modulus or prime.
+_LARGE = 32
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
 
@@ -85,9 +90,9 @@ def is_private_key(data: bytes) -> bool:
         return False
     tags = [t for t, _ in parts]
     if all(t == 0x02 for t in tags):  # RSA: version and eight numbers; DSA: version and five
-        return parts[0][1] in (b"\0", b"\1") and len(tags) in (6, 9)
+        return parts[0][1] in (b"\0", b"\1") and len(tags) in (6, 9) and len(parts[1][1]) >= _LARGE and all(x for _, x in parts)
     if tags[:3] == [0x02, 0x30, 0x04] and parts[0][1] in (b"\0", b"\1"):  # PKCS#8
-        return _algorithm(parts[1][1]) and bool(parts[2][1])
+        return _algorithm(parts[1][1]) and _inner_key(parts[2][1])
     if tags == [0x30, 0x04]:  # PKCS#8, encrypted
         return _algorithm(parts[0][1]) and len(parts[1][1]) >= 16
     if tags[:2] == [0x02, 0x04] and parts[0][1] == b"\1":  # SEC1
@@ -95,6 +100,15 @@ def is_private_key(data: bytes) -> bool:
     return False
 
 
+def _inner_key(data: bytes) -> bool:
+    """What PKCS#8 wraps: a key of its own, or one string or number of a key's size."""
+    inner = items(data)
+    if not inner or len(inner) != 1:
+        return False
+    tag, body = inner[0]
+    return is_private_key(data) if tag == 0x30 else tag in (0x02, 0x04) and len(body) >= 16
+
+
 def _algorithm(data: bytes) -> bool:
     inner = items(data)
     return bool(inner) and inner[0][0] == 0x06 and 3 <= len(inner[0][1]) <= 32
@@ -154,11 +168,21 @@ def confirmed_spans(text: str) -> list[Span]:
         out |= {(m.start(), 3, m.end()) for m in _JWT.finditer(text) if "alg" in (_object(m[1]) or ()) and _object(m[2]) is not None}
     inside = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            kind = _kind(decoded("".join(m[2].split())))
-            if kind is not None:
-                out.add((m.start(), kind, m.end()))
-                inside.append((m.start(), m.end()))
+        begun = None
+        for m in _FENCE.finditer(text):
+            if m[1] == "END" and begun is not None and begun[2] == m[2]:
+                kind = _kind(decoded(_BREAK.sub("", text[begun.end() : m.start()])))
+                if kind is not None:
+                    out.add((begun.start(), kind, m.end()))
+                    inside.append((begun.start(), m.end()))
+            begun = m if m[1] == "BEGIN" else None
+    for m in _LINES.finditer(text):
+        kind = _kind(decoded(_BREAK.sub("", m[0])))
+        block = bisect_right(inside, (m.start(), len(text))) - 1
+        if kind is not None and not (block >= 0 and m.end() <= inside[block][1]):
+            out.add((m.start(), kind, m.end()))
+            inside.append((m.start(), m.end()))
+            inside.sort()
     for pattern, decode in ((_RUN, decoded), (_ANY_HEX, bytes.fromhex)):
         for m in pattern.finditer(text):
             kind = _kind(decode(m[0]))

@@ -8,8 +8,9 @@
    the budget of some term below: the intersection of the trie with the
    Levenshtein automaton of the token. States are made when first needed and
    kept, so that a token costs one look-up a letter.
-3. Around each hit a window of words tells quotation from abuse: quotation
-   marks around the term, or words that speak about a word ("the word", "said").
+3. Around each hit a window of words tells quotation from abuse: a pair of
+   quotation marks around the term (an apostrophe between letters is none), or
+   words that speak about a word ("the word", "a slur").
 4. A logistic regression over hits that are plain, misspelled or quoted, fitted
    on the same sample, gives the score.
 
@@ -42,9 +43,11 @@ FREE = 7
 #: Words, with digits and with the signs that stand for letters between others.
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!*+|][^\W_]+)*")
 _PART, _LETTER = re.compile(r"[^\W_]+"), re.compile(r"[^\W\d_]")
-_QUOTES = "\"'`“”„‘’«»‹›"
-#: Words that speak about a word or report speech.
-ABOUT = frozenset("word words term terms called calls calling said says quote quoted quotes insult insults slur slurs spelled means meaning".split())
+#: Quotation marks by what may close them, either way round for angles. An apostrophe between letters is none.
+_CLOSES = {'"': '"', "'": "'", "`": "`'", "“": "”", "„": "“”", "‘": "’", "’": "’", "”": "”", "«": "»", "»": "«", "‹": "›", "›": "‹"}
+_MARKS = re.compile("[" + "".join(sorted({*_CLOSES, *"".join(_CLOSES.values())})) + "]")
+#: Words that speak about a word. Those that report speech are none: "he said you are ..." abuses, unless marks stand around it.
+ABOUT = frozenset("word words term terms quote quoted quotes insult insults slur slurs spelled".split())
 
 
 @dataclass
@@ -57,6 +60,27 @@ class Lexicon:
     harmless: frozenset[str] = frozenset()
 
 
+def _marked(before: str, after: str) -> bool:
+    """Whether a quotation that opens in the text before a term closes in the one after it."""
+    opened = None
+    for m in _MARKS.finditer(before):
+        left, right = before[m.start() - 1 : m.start()], before[m.end() : m.end() + 1]
+        if left.isalnum() and right.isalnum():
+            continue
+        if opened is not None and m[0] in _CLOSES[opened] and left and not left.isspace():
+            opened = None
+        elif m[0] in _CLOSES and not left.isalnum() and not right.isspace():
+            opened = m[0]
+    if opened is None:
+        return False
+    for m in _MARKS.finditer(after):
+        left, right = after[m.start() - 1 : m.start()], after[m.end() : m.end() + 1]
+        # The first mark of the kind that isn't an apostrophe closes; what precedes the text after the term is the term.
+        if m[0] in _CLOSES[opened] and not right.isalnum() and not left.isspace():
+            return True
+    return False
+
+
 def edits(term: str) -> int:
     """Misspellings that a term tolerates."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -223,7 +247,8 @@ class Scorer:
             if t in found:
                 near = {w for _, _, w in spans[max(0, k - CONTEXT) : k + CONTEXT + 1]}
                 lo, hi = spans[max(0, k - CONTEXT)][0], spans[min(len(spans) - 1, k + CONTEXT)][1]
-                marked = any(q in low[lo:a] for q in _QUOTES) and any(q in low[b : hi + 1] for q in _QUOTES)
+                # One sign more on either side, for a mark at the window's edge.
+                marked = _marked(low[max(0, lo - 1) : a] + low[a : a + 1], low[b : hi + 2])
                 out.append((a, b, found[t][0], found[t][2], marked or bool(near & ABOUT)))
         return out
 

@@ -106,6 +106,28 @@ def test_confirmed_secrets():
     assert not secret_scan.is_ssh_key(ssh[:-1]) and secret_scan.items(b"\x30\x80") is None
 
 
+def test_keys_in_other_wraps():
+    """Escaped, quoted, commented and unfenced keys are found; broken inner keys and tiny numbers are refused."""
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([65 + k]) * 40) for k in range(8)))
+    oid = der(0x30, der(6, b"\x2a\x86\x48\x86") + der(5, b""))
+    pkcs8 = lambda inner: der(0x30, der(2, b"\0") + oid + der(4, inner))
+    pem = base64.b64encode(rsa).decode()
+    lines = [pem[k : k + 64] for k in range(0, len(pem), 64)]
+    found = lambda t: [(secret_scan.KINDS[k], t[a:b]) for a, k, b in secret_scan.confirmed_spans(t)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    for sep in ("\\n", "\\r\\n", "\n> ", "\n# ", '\\n"\n"', "\r\n\t"):
+        block = sep.join([begin, *lines, end])
+        assert found(f'{{"key": "{block}", "x": 1}}') == [("key", block)], sep
+    for sep in ("\n", "\\n", "\n  ", "\n> "):
+        assert found("see " + sep.join(lines) + " there") == [("key", sep.join(lines))], sep
+    assert found(begin + "\n" + begin + "\n" + "\n".join(lines) + "\n" + end)[0][0] == "key"
+    b64 = lambda b: base64.b64encode(b).decode()
+    assert found(b64(pkcs8(rsa))) and found(b64(pkcs8(der(4, b"k" * 32)))) and not found(b64(pkcs8(b"garbage" * 6))) and not found(b64(pkcs8(rsa[:-1])))
+    tiny = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k])) for k in range(8)))
+    assert not secret_scan.is_private_key(tiny) and not secret_scan.is_private_key(der(0x30, der(2, b"\0") * 6))
+    assert found(begin + "x" * 200_000 + (begin + "y") * 2000) == []
+
+
 def test_secret_queries(spark, docs):
     texts = EDGES + ["token = abcdefghijkl0 x", "é token=0123456789abcdef0"]
     rows = {r.doc_id: r for r in secret_scan.secrets(docs(texts)).collect()}
@@ -128,6 +150,8 @@ def test_languages(spark, docs):
     held = [k for k in range(300) if rows[k].held_out]
     assert 30 < len(held) < 100 and sum(rows[k].lang_pred == ("en" if k % 2 else "fr") for k in held) >= 0.97 * len(held)
     assert [rows[k].lang_pred for k in range(300, 304)] == ["und", "und", "und", "en"]
+    numbers = langid.language_report(docs(texts[:40] + ["½ ² Ⅷ ① ٣", "ª", "\u0301 ⓐ _"], lang=lambda k: "en" if k < 40 else None)).collect()
+    assert [r.lang_pred for r in sorted(numbers, key=lambda r: r.doc_id)[40:]] == ["und", "en", "und"]
     assert {r.lang_pred for r in langid.language_report(docs(["abc"], lang=lambda k: None)).collect()} == {"und"}
     assert langid.language_report(docs([])).count() == 0
 
@@ -145,6 +169,42 @@ def test_folded_tables_equal_the_network():
     assert np.allclose(langid.Reader(net).windows(x), s / s.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def test_gradient():
+    """A step of the fit goes where differences of the loss point."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(97, 110, (64, langid.WINDOW + 3)).astype(np.uint8)
+    x[::2, ::5] = 120
+    y = ["a", "b"] * 32
+
+    def loss(net):
+        e = net.embed[x].astype(float)
+        pooled = [(sum(e[:, j : j + langid.WINDOW] @ c[j] for j in range(w)) + b).max(axis=1) for w, c, b in zip(langid.WIDTHS, net.conv, net.bias, strict=True)]
+        s = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.out + net.out_bias
+        s = s - s.max(axis=1, keepdims=True)
+        return float(-(s[np.arange(64), np.searchsorted(["a", "b"], y)] - np.log(np.exp(s).sum(axis=1))).mean())
+
+    # One batch is all rows: Adam's first step moves each parameter by the rate against the sign of its gradient.
+    start, moved = langid.fit(x, y, epochs=0, batch=64), langid.fit(x, y, epochs=1, batch=64, rate=1e-4)
+    for name, k in (("out", None), ("out_bias", None), ("embed", None), ("conv", 0), ("conv", 2), ("bias", 1)):
+        part = lambda net: getattr(net, name) if k is None else getattr(net, name)[k]  # noqa: B023, E731
+        p, step = part(start), part(moved) - part(start)
+        agree = seen = 0
+        for at in rng.permutation(p.size)[:60]:
+            i = np.unravel_index(at, p.shape)
+            was = p[i]
+            p[i] = was + 1e-3
+            up = loss(start)
+            p[i] = was - 1e-3
+            slope = (up - loss(start)) / 2e-3
+            p[i] = was
+            if abs(slope) > 1e-5 and step[i]:
+                seen += 1
+                agree += (slope > 0) == (step[i] < 0)
+        assert seen and agree >= 0.95 * seen, name
+
+
 def longest_increasing(pairs):
     best = []
     for k, (_, j) in enumerate(pairs):
@@ -260,6 +320,21 @@ def test_automaton_equals_edit_distance(token):
         assert best is None or min(near[t] - 0 for t in terms if near[t] <= toxicity.edits(t)) < best
 
 
+def test_quotation_and_abuse():
+    """Pairs of marks and words about words make a quotation; apostrophes and reported speech don't."""
+    lexicon = toxicity.Lexicon({"idiot": 5.0}, {})
+    scorer = toxicity.Scorer(lexicon)
+    quoted = lambda t: [q for *_, q in scorer.hits(t)]
+    abuse = [
+        "you're an idiot, don't talk to me", "c'est un idiot, n'est-ce pas", "t'es qu'un idiot, j'te dis", "you are an idiot", "he said you are a idiot", "the dogs' idiot owner didn't come",
+        "\"hello\" you idiot \"bye\"", "it’s an idiot’s idea", "what a 'fine' idiot 'you' are", "l'idiot", "she calls and says idiot", "idiot", "\" idiot \"", "rock 'n' roll idiot",
+    ]
+    spoken = [
+        "the word «idiot» means a fool", "he wrote \"you idiot\" there", "'idiot' is what he wrote", "“what an idiot”", "„du idiot“ stand da", "‘idiot’", "the term idiot is old", "`idiot'", "»idiot«", "\"don't be an idiot, can't you\" was written",
+    ]
+    assert [t for t in abuse if quoted(t) != [False]] == [] and [t for t in spoken if quoted(t) != [True]] == []
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(3)
     prose = lambda: [rng.choice(["river", "stone", "walk", "bright", "over", "under", "house", "tree", "seven", "music"]) for _ in range(30)]

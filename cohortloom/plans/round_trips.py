@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortloom.functions.text import parent_name
 from cohortloom.operators import cohort, reconcile, rollup, split
 from cohortloom.sources import readers, sinks
-from cohortloom.streaming.incremental import process_new_files
+from cohortloom.streaming.incremental import output, process_new_files, process_to_outputs
 
 from .registry import query
 from .smaller import S1, S2
@@ -175,6 +175,61 @@ def parsed_files(t, spark, folder):  # noqa: ANN001, ANN201
     return readers.parsed_files(spark, folder + "/a", lambda p, c: [(x.decode(), len(x)) for x in c.split()], "name string, n bigint", "*.txt")
 
 
+@query("SELECT record, row_number() OVER (ORDER BY record) - 1 AS line FROM ast_records", written=True)
+def line_numbers(t, spark, folder):  # noqa: ANN001, ANN201
+    """Rows written in order to several files come back with their numbers."""
+    t("ast_records").orderBy("record").write.option("header", True).csv(folder + "/a")
+    return readers.numbered(spark, folder + "/a").select(F.col("record").cast("bigint").alias("record"), "line")
+
+
+@query("SELECT sample, min(record) AS record, arg_min(antibiotic, record) AS antibiotic FROM ast_records GROUP BY 1", written=True)
+def first_lines(t, spark, folder):  # noqa: ANN001, ANN201
+    """The first line of each sample, by the order of lines in files alone."""
+    t("ast_records").orderBy("record").write.option("header", True).csv(folder + "/a")
+    rows = readers.in_file_order(spark, folder + "/a")
+    first = rows.groupBy("sample").agg(F.min_by(F.struct("record", "antibiotic"), "line").alias("r"))
+    return first.select("sample", F.col("r.record").cast("bigint").alias("record"), F.col("r.antibiotic").alias("antibiotic"))
+
+
+@query("SELECT g.sample % 3 AS part, g.gene, len(g.embedding)::INT AS size FROM genes g WHERE g.sample % 3 <> 2 AND g.gene IN (SELECT sample FROM present_ids)", written=True)
+def wanted_of_files(t, spark, folder):  # noqa: ANN001, ANN201
+    """Files are named by what they hold; a third of them is wanted by nobody, and the result is parted by input."""
+    for k in range(3):
+        t("genes").where(F.col("sample") % 3 == k).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    names = readers.listing(spark, folder + "/in", "*.parquet", True).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.element_at(F.split("path", "/"), -2).cast("bigint").alias("part"))
+    genes = t("genes").join(t("present_ids").select(F.col("sample").alias("gene")).distinct(), "gene", "left_semi")
+    wanted = genes.select("gene", (F.col("sample") % 3).alias("part")).where("part <> 2").join(names, "part").select("file", "gene")
+    sinks.by_input(readers.wanted_rows(spark, folder + "/in", wanted, "file", "gene"), folder + "/out", "file")
+    return spark.read.parquet(folder + "/out").join(names, "file").select("part", "gene", F.size("embedding").alias("size"))
+
+
+@query("SELECT sample, accession, done, segment, sample IN (SELECT sample FROM present_ids) AS present FROM expected_ids", written=True)
+def published_versions(t, spark, folder):  # noqa: ANN001, ANN201
+    sinks.published(t("expected_ids"), folder + "/a")
+    sinks.published(reconcile.flagged(readers.current(spark, folder + "/a"), "sample", t("present_ids"), "present"), folder + "/a")
+    sinks.swept(spark, folder + "/a")
+    return readers.current(spark, folder + "/a")
+
+
+@query("""SELECT 'kept' AS output, record, measurement AS value FROM ast_records WHERE measurement LIKE '%mg/L' UNION ALL SELECT 'counts', count(*), antibiotic FROM ast_records WHERE measurement LIKE '%mg/L' GROUP BY antibiotic
+  UNION ALL SELECT 'rejects', record, measurement FROM ast_records WHERE NOT coalesce(measurement LIKE '%mg/L', false)""", written=True)
+def streamed_outputs(t, spark, folder):  # noqa: ANN001, ANN201
+    """Three outputs of two batches; counts are added up over batches."""
+    df = t("ast_records").select("record", "antibiotic", "measurement")
+    fine = F.coalesce(F.col("measurement").like("%mg/L"), F.lit(False))
+    outputs = {
+        "kept": lambda b: b.where(fine).select("record", F.col("measurement").alias("value")),
+        "counts": lambda b: b.where(fine).groupBy(F.col("antibiotic").alias("value")).agg(F.count(F.lit(1)).alias("record")),
+        "rejects": lambda b: b.where(~fine).select("record", F.col("measurement").alias("value")),
+    }
+    for k in (0, 1):
+        df.where(F.col("record") % 2 == k).write.mode("append").parquet(folder + "/in")
+        process_to_outputs(spark, folder + "/in", df.schema, outputs, folder + "/out", folder + "/mark")
+    parts = {name: output(spark, folder + "/out", name) for name in outputs}
+    parts["counts"] = parts["counts"].groupBy("value").agg(F.sum("record").alias("record"))
+    return cohort.united([p.select(F.lit(name).alias("output"), "record", "value") for name, p in parts.items()])
+
+
 @query("SELECT sample, accession, upper(segment) AS segment FROM expected_ids", written=True)
 def streamed_batches(t, spark, folder):  # noqa: ANN001, ANN201
     """Two calls of the resumable stream; the second one sees only what came after the first."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Texts that stand for a missing value in delimited files; case matters.
@@ -29,6 +29,60 @@ def delimited(spark: SparkSession, path: str, sep: str = ",", schema: StructType
     return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def in_file_order(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False, name: str = "line") -> DataFrame:
+    """``delimited`` as text, with where each row stands: (file, start of its split, place), which sorts as the files are read.
+
+    Enough for "first" and "last" (``min_by``), at no cost: rows of one split are read one after
+    another by one task, whose running number grows. Files come by name. ``multi_line`` is for
+    quoted fields that hold line ends; such files aren't split.
+    """
+    names = _header(spark, path, sep)
+    text = StructType([StructField(c, StringType()) for c in names])
+    options = {"sep": sep, "header": True, "escape": '"', "multiLine": multi_line}
+    rows = spark.read.options(**options).schema(text).csv(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    return nulls_normalised(rows.select(*[F.col(f"`{c}`") for c in names], at.alias(name)))
+
+
+def numbered(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False, name: str = "line") -> DataFrame:
+    """The same with dense line numbers from 0 over all files: the place in the split and the rows of all splits before it.
+
+    Nothing is sorted but one row for each split.
+    """
+    rows = in_file_order(spark, path, sep, multi_line, "_at")
+    splits = rows.groupBy(F.col("_at.file").alias("_file"), F.col("_at.start").alias("_start")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at.at").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = (F.col("_at.file") == F.col("_file")) & (F.col("_at.start") == F.col("_start"))
+    names = [c for c in rows.columns if c != "_at"]
+    return rows.join(starts, on).select(*[F.col(f"`{c}`") for c in names], (F.col("_at.at") - F.col("_first") + F.col("_before")).alias(name))
+
+
+def wanted_rows(spark: SparkSession, folder: str, wanted: DataFrame, file: str, key: str) -> DataFrame:
+    """Rows of the parquet files below a folder whose (file name, key) is wanted, with the name as ``file``.
+
+    Files that nothing is wanted from aren't opened: their names are dropped from the list of paths
+    that is read, which Spark keeps on the driver anyway. No file at all gives the folder's schema.
+    """
+    from cohortloom.functions.text import basename
+
+    there = listing(spark, folder, "*.parquet", True).select("path", basename(F.col("path")).alias(file))
+    paths = sorted(r[0] for r in there.join(wanted.select(file).distinct(), file, "left_semi").select("path").collect())
+    rows = spark.read.parquet(*paths) if paths else spark.read.option("recursiveFileLookup", True).parquet(folder).limit(0)
+    named = rows.select("*", F.col("_metadata.file_name").alias(file))
+    return named.join(wanted.select(file, key), [file, key], "left_semi")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version that ``sinks.published`` made the current one. Later versions don't change what this reads."""
+    from .sinks import current_version
+
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no version at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/versions/{version}")
+
+
 def delimited_with_rejects(spark: SparkSession, path: str, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
     """Rows that fit, and those with too many fields (their first field and their line); short rows are filled with nulls.
 

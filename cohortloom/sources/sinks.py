@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def delimited(df: DataFrame, path: str, sep: str = ",", single: bool = False, only_if_rows: bool = False) -> bool:
@@ -31,6 +31,74 @@ def replaced(df: DataFrame, path: str, sep: str = "\t") -> None:
     fs.delete(kept, True)
 
 
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+
+
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """Names of pointers, oldest first: a running number, then the version that it points at."""
+    at, fs, _ = _fs(spark, f"{path.rstrip('/')}/pointers")
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in names if not n.startswith("."))
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that the newest pointer names, if there is one."""
+    names = _pointers(spark, path)
+    return names[-1].partition("-")[2] if names else None
+
+
+def published(df: DataFrame, path: str) -> str:
+    """Replaces a table that ``df`` may itself be reading, so that readers see the old rows or the new ones, never neither.
+
+    Rows go to a folder of their own, which nobody reads before a pointer names it. A pointer is an
+    empty file that says all by its name and is never replaced, so that it is there at once or not at
+    all on any file system. A crash before that leaves the old version current, and at most a folder
+    that ``swept`` takes away. Returns the version's name.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{base}/versions/{version}")
+    point(spark, base, version)
+    return version
+
+
+def point(spark: SparkSession, path: str, version: str) -> None:
+    """Makes a version that is there the current one; of two at the same time the greater name counts."""
+    names = _pointers(spark, path)
+    number = int(names[-1].partition("-")[0]) + 1 if names else 0
+    at, fs, _ = _fs(spark, f"{path.rstrip('/')}/pointers/{number:020d}-{version}")
+    fs.create(at, False).close()
+
+
+def swept(spark: SparkSession, path: str, older: float = 0.0) -> int:
+    """Deletes versions that aren't current and haven't changed for ``older`` seconds, and their pointers; returns how many.
+
+    Give readers that hold an old version, and writers that haven't published yet, that much time.
+    """
+    import time
+
+    at, fs, _ = _fs(spark, f"{path.rstrip('/')}/versions")
+    names, n = _pointers(spark, path), 0
+    kept = names[-1].partition("-")[2] if names else None
+    for s in fs.listStatus(at) if fs.exists(at) else []:
+        version = s.getPath().getName()
+        if version != kept and s.getModificationTime() <= (time.time() - older) * 1000:
+            for name in names:
+                if name.endswith(f"-{version}"):
+                    fs.delete(_fs(spark, f"{path.rstrip('/')}/pointers/{name}")[0], False)
+            fs.delete(s.getPath(), True)
+            n += 1
+    return n
+
+
+def by_input(df: DataFrame, path: str, file: str) -> None:
+    """One output for each input file, in a folder named after it; large ones have several files."""
+    partitioned(df, path, [file])
+
+
 def partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
     """One dataset with a folder for each value; rows of a value are gathered before they are written.
 

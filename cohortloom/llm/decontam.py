@@ -40,8 +40,8 @@ SHORT, STEP = 50, 10
 #: One edit is allowed for so many characters.
 CHARS_PER_EDIT = 12
 GRAM = 5
-#: Characters of test items in a block.
-BLOCK = 4_000_000
+#: Characters of test items in a block. A worker holds about 1.2 KB for each, so some 250 MB; every block is one scan of the documents.
+BLOCK = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _PLAIN = {c: chr(c).lower() if chr(c).isalnum() else " " for c in range(128)}
 

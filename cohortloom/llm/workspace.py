@@ -7,8 +7,8 @@ is read from the session; only where it is unset (tests on one machine) is a
 temporary folder made.
 
 An operator drops a table once nothing reads it any more; what its result still
-reads stays until the caller, having written or collected the result, calls
-``release``.
+reads stays until the caller has written or collected the result: calls made
+within ``closing`` lose their tables at its end, and ``release`` deletes all.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -28,6 +31,7 @@ _SETTINGS = {
 _LOCK = threading.RLock()
 _WRITING: dict[str, object] = {"n": 0, "was": {}}
 _SPACES: list[Workspace] = []
+_OPENED: ContextVar[list[Workspace] | None] = ContextVar("opened", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +53,9 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cohortloom-{uuid.uuid4().hex}"
         _SPACES.append(self)
+        opened = _OPENED.get()
+        if opened is not None:
+            opened.append(self)
 
     def save(self, df: DataFrame, name: str, by: list[str] | None = None, heavy: bool = False, grouped: bool = False) -> DataFrame:
         """Write ``df``, in a folder for each value of ``by``, and return it as read back: its lineage ends here.
@@ -101,6 +108,19 @@ class Workspace:
             _SPACES.remove(self)
 
 
+@contextmanager
+def closing() -> Iterator[None]:
+    """Deletes, at its end, the tables of the operators called within it, and no others: for a caller that has written their results by then."""
+    opened: list[Workspace] = []
+    token = _OPENED.set(opened)
+    try:
+        yield
+    finally:
+        _OPENED.reset(token)
+        for space in opened:
+            space.close()
+
+
 def release(*but: Workspace) -> None:
     """Delete the tables of all operators called so far, except these; their results can't be read after that."""
     for space in [s for s in _SPACES if s not in but]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.functions.text import parent_name
 from cohortloom.operators import cohort, reconcile, rollup, split
-from cohortloom.sources import readers, sinks
+from cohortloom.sources import genomes, readers, sinks
 from cohortloom.streaming.incremental import output, process_new_files, process_to_outputs
 
 from .registry import query
@@ -175,6 +175,32 @@ def parsed_files(t, spark, folder):  # noqa: ANN001, ANN201
     return readers.parsed_files(spark, folder + "/a", lambda p, c: [(x.decode(), len(x)) for x in c.split()], "name string, n bigint", "*.txt")
 
 
+CODONS = dict(zip("ADEFGHWKNPQRSTVY", "gct gat gaa ttt ggt cat tgg aaa aat cct caa cgt tct act gtt tat".split(), strict=True))
+
+
+@query(f"""SELECT 'C' || sample AS contig, 'L' || sample AS locus_tag, CASE WHEN sample % 11 = 0 THEN '5..x' WHEN sample % 4 = 0 THEN '10..108' WHEN sample % 4 = 1 THEN '11..109' WHEN sample % 4 = 2 THEN 'complement(5..103)' ELSE 'join(1..48,60..110)' END AS location,
+  CASE WHEN sample % 11 <> 0 THEN translate(md5(CAST(sample AS VARCHAR)), '0123456789abcdef', '{"".join(CODONS)}') END AS protein, CASE WHEN sample % 11 = 0 THEN 'location' END AS reason FROM expected_ids""", written=True)
+def genome_proteins(t, spark, folder):  # noqa: ANN001, ANN201
+    """Proteins as stated, or translated from either strand and from parts."""
+    n = F.col("sample")
+    df = t("expected_ids").select("sample", F.translate(F.md5(n.cast("string")), "0123456789abcdef", "".join(CODONS)).alias("aa"))
+    codon = F.create_map(*[F.lit(x) for p in CODONS.items() for x in p])
+    dna = F.concat(F.array_join(F.transform(F.split("aa", ""), lambda c: codon[c]), ""), F.lit("taa"))
+    df = df.withColumn("dna", dna)
+    pick = lambda *v: F.when(n % 4 == 0, v[0]).when(n % 4 == 1, v[1]).when(n % 4 == 2, v[2]).otherwise(v[3])
+    location = F.when(n % 11 == 0, "5..x").otherwise(pick("10..108", "11..109", "complement(5..103)", "join(1..48,60..110)"))
+    other = F.concat(F.lit("gggg"), F.reverse(F.translate("dna", "acgt", "tgca")))
+    bases = pick(F.lit(""), F.concat(F.lit("c" * 10), "dna"), other, F.concat(F.substring("dna", 1, 48), F.lit("a" * 11), F.substring("dna", 49, 99)))
+    pad = " " * 21
+    stated = F.when(n % 4 == 0, F.concat(F.lit(f'{pad}/translation="'), F.substring("aa", 1, 20), F.lit("\n" + pad), F.substring("aa", 21, 99), F.lit('"\n'))).otherwise("")
+    record = F.concat(
+        F.lit("LOCUS       C"), n, F.lit(" 200 bp DNA\nDEFINITION  made.\nFEATURES             Location/Qualifiers\n     source          1..200\n     CDS             "), location,
+        F.lit(f'\n{pad}/locus_tag="L'), n, F.lit('"\n'), stated, F.lit("ORIGIN\n        1 "), F.substring(bases, 1, 60), F.lit("\n       61 "), F.substring(bases, 61, 99), F.lit("\n//"),
+    )
+    df.select(record.alias("value")).repartition(5).write.option("compression", "gzip").text(folder + "/a")
+    return genomes.proteins(spark, folder + "/a", "*.txt.gz").select("contig", "locus_tag", "location", "protein", "reason")
+
+
 @query("SELECT record, row_number() OVER (ORDER BY record) - 1 AS line FROM ast_records", written=True)
 def line_numbers(t, spark, folder):  # noqa: ANN001, ANN201
     """Rows written in order to several files come back with their numbers."""

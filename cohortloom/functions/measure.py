@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Comparison operators that a measurement may have, and the form of its number.
+#: Comparison operators that a measurement may have, the form of its number, and of what may follow after a slash.
 OPERATORS = (">", "<", ">=", "<=", "=", "==")
-NUMBER = r"^\d*\.?\d+(?:/\d+.*)?$"
+_NUMBER, _OVER = r"\d*\.?\d+", r"/\d+"
+NUMBER = rf"^{_NUMBER}(?:{_OVER}.*)?$"
+#: White space as text is split by in the source of the data: the Unicode kinds as well, and the information separators.
+_SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def parts(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+")
+    return F.split(F.regexp_replace(c, f"^[{_SPACE}]+|[{_SPACE}]+$", ""), f"[{_SPACE}]+")
 
 
 def reject_reason(c: Column) -> Column:
@@ -26,7 +29,7 @@ def reject_reason(c: Column) -> Column:
 
 
 #: The two parts of a readable measurement, as one pattern, which keeps expressions over them short.
-_READ = r"(?s)^\s*(>=|<=|==|>|<|=)\s+(\d*\.?\d+)(?:/\d+\S*)?(?:\s.*)?$"
+_READ = rf"(?s)^[{_SPACE}]*({'|'.join(sorted(OPERATORS, key=len, reverse=True))})[{_SPACE}]+({_NUMBER})(?:{_OVER}[^{_SPACE}]*)?(?:[{_SPACE}].*)?$"
 
 
 def operator(c: Column) -> Column:

@@ -42,7 +42,7 @@ def flagged(df: DataFrame, key: str, present: DataFrame, name: str) -> DataFrame
 
 
 def missing(df: DataFrame, key: str, present: DataFrame, prefix: str = "") -> DataFrame:
-    """Rows expected (by a prefix of their key) that are not present, one for each key."""
+    """Rows expected (by a prefix of their key) that are not present; repeated rows stay as they are."""
     expected = df.where(F.col(key).startswith(prefix)) if prefix else df.where(F.col(key).isNotNull())
     there = present.select(F.col(present.columns[0]).alias("_k"))
     return expected.join(there, F.col(key) == F.col("_k"), "left_anti")
@@ -76,10 +76,10 @@ def aligned(keys: DataFrame, key: str, meta: DataFrame, meta_key: str) -> DataFr
 
 
 def coverage(files: DataFrame, file_key: str, used: DataFrame, used_key: str) -> DataFrame:
-    """Files, those matched at least once, and whether all are."""
+    """Files, those matched at least once, and whether all are; null if there are no files."""
     total = files.agg(F.countDistinct(file_key).alias("n_files"))
     hit = files.select(file_key).distinct().join(used.select(F.col(used_key).alias("_u")), F.col(file_key) == F.col("_u"), "left_semi").agg(F.count(F.lit(1)).alias("n_used"))
-    return total.join(F.broadcast(hit)).withColumn("all_used", F.col("n_files") == F.col("n_used"))
+    return total.join(F.broadcast(hit)).withColumn("all_used", F.when(F.col("n_files") > 0, F.col("n_files") == F.col("n_used")))
 
 
 def size_estimate(matched: DataFrame) -> DataFrame:

@@ -75,7 +75,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, id: str, embedding: str, k:
     """The k vectors of largest cosine similarity for each of the queries (others than itself).
 
     The queries are handed out in blocks of at most ``limit``; each task holds its batch of
-    vectors against a whole block, and keeps its own best k before the shuffle.
+    vectors against a whole block, and keeps its own best k before the shuffle. For few queries,
+    whose vectors needn't be among the others; ``neighbours.graph`` takes any number of rows of one table.
+
+    A vector that is null or empty, or holds a null or a number that isn't finite, neither asks nor is
+    found; so has one of another length than the first one, queries before others.
     """
     import numpy as np
     import pyarrow as pa
@@ -83,6 +87,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, id: str, embedding: str, k:
     kind = dict(vectors.dtypes)[id]
     schema, best = f"query {kind}, {id} {kind}, cosine double", None
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+    fine = (F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    queries, vectors = (d.where(F.col(id).isNotNull() & F.col(embedding).isNotNull()).where(fine) for d in (queries, vectors))
+    length = queries.select(F.size(embedding)).first()
+    if length is not None:
+        queries, vectors = (d.where(F.size(embedding) == length[0]) for d in (queries, vectors))
     rows = queries.select(id, embedding).toLocalIterator()
     while block := list(islice(rows, limit)):
         ids = np.array([r[0] for r in block])

@@ -442,7 +442,8 @@ def embedding_filter(t):  # noqa: ANN001, ANN201
   row_number() OVER (PARTITION BY q.gene ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.gene) AS k FROM genes q JOIN genes v ON q.gene <> v.gene WHERE q.gene % 50 = 0) WHERE k <= 5""")
 def nearest_vectors(t):  # noqa: ANN001, ANN201
     g = t("genes")
-    return vectors.nearest(g.where("gene % 50 = 0"), g, "gene", "embedding", 5).select("query", "gene", *r6("cosine"))
+    near = neighbours.graph(g, "gene", "embedding", 5, 64, "cosine", asking=g.where("gene % 50 = 0"))
+    return near.select(F.col("id").alias("query"), F.col("neighbour").alias("gene"), F.round(1 - F.col("distance"), 6).alias("cosine"))
 
 
 @query("""SELECT id, neighbour, CAST(k AS INT) AS rank, round(d, 6) AS distance FROM (SELECT a.gene AS id, b.gene AS neighbour, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,

@@ -257,6 +257,40 @@ def test_without_substrings_equals_brute_force(spark):
     assert [r.k for r in reconcile.without_substrings(df, "v", spark.createDataFrame([("",)], "stem string")).collect()] == [0]
 
 
+def test_nearest_leaves_broken_vectors_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, []), (None, [1.0, 0.0])]
+    df = frame(spark, rows, "id bigint, e array<double>")
+    assert sorted((r["query"], r["id"]) for r in vectors.nearest(df, df, "id", "e", 3).collect()) == [(1, 2), (2, 1)]
+    assert vectors.nearest(df.where("id = 3"), df, "id", "e", 3).collect() == []
+
+
+def test_measurements_with_other_white_space(spark):
+    raw = [">\u00a04\u2009mg/L", "\u3000<= 2", "=\x1f8 mg", ">=\u20282", "~\u00a04", ">\u00a0"]
+    df = frame(spark, [(x,) for x in raw], "m string").select(measure.operator(F.col("m")).alias("o"), measure.number(F.col("m")).alias("n"), measure.reject_reason(F.col("m")).alias("r"))
+    assert [tuple(r) for r in df.collect()] == [(">", 4.0, None), ("<=", 2.0, None), ("=", 8.0, None), (">=", 2.0, None), (None, None, "operator"), (None, None, "parts")]
+
+
+def test_coverage_of_no_files(spark):
+    files, used = frame(spark, [("a",), ("b",)], "f string"), frame(spark, [("a",)], "u string")
+    assert tuple(reconcile.coverage(files, "f", used, "u").first()) == (2, 1, False) and tuple(reconcile.coverage(files.limit(0), "f", used, "u").first()) == (0, 0, None)
+
+
+def test_ranks_with_ties_and_hot_groups(spark):
+    """Ranks in groups of which one has most rows, and values that most rows share."""
+    rows = [("hot" if k % 10 else None if k % 20 else "b", k * 7919 % 5, k) for k in range(600)]
+    out = ranking.rank_within(frame(spark, rows, "g string, v int, i int").repartition(9), ["g"], [F.col("v"), F.col("i")], "r").collect()
+    want = {}
+    for g in ("hot", None, "b"):
+        for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 1):
+            want[i] = n
+    assert {r.i: r.r for r in out} == want
+    tied = ranking.ordered_rank(frame(spark, [(1,)] * 50, "v int"), "v").collect()
+    assert sorted(r["rank"] for r in tied) == list(range(1, 51))
+    marks, asks = frame(spark, [(k * 3, k) for k in range(40)], "s bigint, m int"), frame(spark, [(k,) for k in range(-5, 130)], "s bigint")
+    found = ranking.next_at_least(marks, asks, "s", "m").collect()
+    assert {r.s: r.m for r in found} == {k: (max(0, -(-k // 3)) if k <= 117 else None) for k in range(-5, 130)}
+
+
 def test_nearest_orders_ties_by_id(spark):
     from cohortloom.operators import vectors
 

@@ -6,13 +6,17 @@
    the Hamming space into shards. A fingerprint lives in the one shard that it
    falls into, and calls at every later shard that may hold a neighbour: by the
    triangle inequality a branch is left out if no point in it can be near.
-4. Each shard grows its own vantage-point tree and asks it for all points
-   within ``bits`` of every resident and caller, so that every pair of near
-   fingerprints meets in exactly one shard. The pairs are merged as they are
-   found: a shard returns a spanning forest, never all pairs of a dense group.
-5. Components over the forests of all shards.
-
-The search is exact; the sample decides how evenly the shards are filled, not
+4. The residents of a shard, and those who ask there, are dealt by hash into
+   slices, as many as a second sample of fingerprints tells; each slice of
+   residents meets each slice of askers in a cell of its own. So no task grows
+   with the table, however many fingerprints one region of the space holds.
+5. Each cell grows its own vantage-point tree and asks it for all points
+   within ``bits`` of every asker, so that every pair of near fingerprints
+   meets in one cell. The pairs are merged as they are found: a cell returns a
+   spanning forest, never all pairs of a dense group.
+6. Components over the forests of all cells.
+
+The search is exact; the samples decide how evenly the cells are filled, not
 what is found. Fingerprints of unrelated texts lie about 32 bits apart, give or
 take 4, so a radius of 4 prunes about a fifth of each branch: work grows as the
 1.75th power of the number of different fingerprints.
@@ -37,8 +41,10 @@ from .components import components
 from .workspace import Workspace
 
 SHINGLE, BITS, BLOCK = 4, 4, 1 << 15
-#: Fingerprints from which the top of the tree is grown; residents a shard should have at most.
-SAMPLE, RESIDENTS = 4096, 1 << 18
+#: Fingerprints, about, that come to the driver: from half of them the top of the tree is grown, with the others its shards are weighed.
+SAMPLE = 1 << 16
+#: Residents and askers that a cell should have at most.
+RESIDENTS, ASKERS = 1 << 18, 1 << 20
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -117,24 +123,60 @@ class Tree:
         yield from self.outer.visit(queries, index[d + reach > self.radius], reach)
 
 
-def _dealt(distinct: DataFrame, top: Tree, bits: int) -> DataFrame:
-    """(``shard``, ``fp``, ``home``): each fingerprint at home, and as a caller in later shards."""
-    for k, leaf in enumerate(top.leaves()):
+def _visits(top: Tree, q: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each shard its number, the places in ``q`` that ask there, and which of these are at home."""
+    home = np.zeros(len(q), dtype=np.int32)
+    for leaf, i in top.visit(q, np.arange(len(q)), 0):
+        home[i] = leaf.number
+    for leaf, i in top.visit(q, np.arange(len(q)), bits):
+        i = i[home[i] <= leaf.number]
+        if len(i):
+            yield leaf.number, i, home[i] == leaf.number
+
+
+def slices(top: Tree, weighed: np.ndarray, n: int, bits: int, residents: int, askers: int) -> np.ndarray:
+    """For each shard the number of slices of its residents and of those who ask there.
+
+    Counts come from ``weighed``, a sample of all ``n`` fingerprints, with twice their standard error added.
+    """
+    leaves = list(top.leaves())
+    for k, leaf in enumerate(leaves):
         leaf.number, leaf.points = k, leaf.points[:0]
+    seen = np.zeros((len(leaves), 2))
+    for at in range(0, len(weighed), BLOCK):
+        for shard, i, at_home in _visits(top, weighed[at : at + BLOCK], bits):
+            seen[shard] += np.count_nonzero(at_home), len(i)
+    expected = (seen + 2 * np.sqrt(seen) + 1) * (n / max(1, len(weighed)))
+    return np.maximum(1, np.ceil(expected / [residents, askers])).astype(np.int64)
+
+
+def _cells(fp: np.ndarray, at_home: np.ndarray, rows: int, columns: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``fp``, cells, who lives there, who asks there) of a shard with so many slices of residents and of askers."""
+    h = fp * np.uint64(0x9E3779B97F4A7C15)
+    row, column = ((h >> np.uint64(40)) % np.uint64(rows)).astype(np.int64), ((h >> np.uint64(8) & np.uint64(0xFFFFFFFF)) % np.uint64(columns)).astype(np.int64)
+    every = np.arange(len(fp))
+    for r in range(rows):
+        yield every, r * columns + column, at_home & (row == r), np.ones(len(fp), dtype=bool)
+    for c in range(columns):
+        here = np.flatnonzero(at_home & (column != c))
+        if len(here):
+            yield here, row[here] * columns + c, np.ones(len(here), dtype=bool), np.zeros(len(here), dtype=bool)
+
+
+def _dealt(distinct: DataFrame, top: Tree, dealt: np.ndarray, bits: int) -> DataFrame:
+    """(``cell``, ``fp``, ``lives``, ``asks``): each fingerprint at home, and as a caller in later shards."""
+    first = np.cumsum(dealt.prod(axis=1)) - dealt.prod(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             everyone = b.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(everyone), BLOCK):
                 q = everyone[at : at + BLOCK]
-                home = np.zeros(len(q), dtype=np.int32)
-                for leaf, i in top.visit(q, np.arange(len(q)), 0):
-                    home[i] = leaf.number
-                for leaf, i in top.visit(q, np.arange(len(q)), bits):
-                    i = i[home[i] <= leaf.number]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), leaf.number, dtype=np.int32)), pa.array(q[i].view(np.int64)), pa.array(home[i] == leaf.number)], ["shard", "fp", "home"])
+                for shard, i, at_home in _visits(top, q, bits):
+                    for k, cell, lives, asks in _cells(q[i], at_home, *dealt[shard].tolist()):
+                        yield pa.RecordBatch.from_arrays([pa.array(first[shard] + cell), pa.array(q[i][k].view(np.int64)), pa.array(lives), pa.array(asks)], ["cell", "fp", "lives", "asks"])
 
-    return distinct.select("fp").mapInArrow(run, "shard int, fp bigint, home boolean")
+    return distinct.select("fp").mapInArrow(run, "cell bigint, fp bigint, lives boolean, asks boolean")
 
 
 class Forest:
@@ -166,21 +208,23 @@ class Forest:
             self.label = up
 
 
-def near(residents: np.ndarray, callers: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among residents and between callers and residents (places in both, joined)."""
+def near(residents: np.ndarray, callers: np.ndarray, bits: int, asking: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between residents and those who ask (places in residents and callers, joined; by default all)."""
     everyone = np.concatenate([residents, callers])
+    asking = np.arange(len(everyone)) if asking is None else asking
     forest, rng = Forest(len(everyone)), np.random.default_rng(0)
     order = np.argsort(residents, kind="stable")
     tree = Tree(residents, 40, 512, rng)
-    for at in range(0, len(everyone), BLOCK):
-        q = everyone[at : at + BLOCK]
+    for at in range(0, len(asking), BLOCK):
+        here = asking[at : at + BLOCK]
+        q = everyone[here]
         for leaf, index in tree.visit(q, np.arange(len(q)), bits):
             place = order[np.searchsorted(residents, leaf.points, sorter=order)]
             step = max(1, (1 << 20) // max(1, len(leaf.points)))
             for k in range(0, len(index), step):
                 i = index[k : k + step]
                 a, b = np.nonzero(np.bitwise_count(q[i][:, None] ^ leaf.points[None, :]) <= bits)
-                a = i[a] + at
+                a = here[i[a]]
                 b = place[b]
                 real = a != b
                 if real.any():
@@ -188,19 +232,24 @@ def near(residents: np.ndarray, callers: np.ndarray, bits: int) -> list[tuple[in
     return forest.edges
 
 
-def links(distinct: DataFrame, bits: int = BITS, sample: int = SAMPLE, residents: int = RESIDENTS) -> DataFrame:
+def links(distinct: DataFrame, bits: int = BITS, sample: int = SAMPLE, residents: int = RESIDENTS, askers: int = ASKERS) -> DataFrame:
     """Edges (``a``, ``b``) between fingerprints: with the same components as all pairs within ``bits``."""
     n = distinct.count()
+    part = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(min(1.0, sample / max(1, n)) * (1 << 40))
+    drawn = np.sort(np.array([r[0] for r in distinct.where(part).select("fp").collect()], dtype=np.int64)).view(np.uint64)
     shards = max(64, -(-n // residents))
-    top = Tree(np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()], dtype=np.int64).view(np.uint64), int(np.ceil(np.log2(shards))), 4, np.random.default_rng(0))
+    top = Tree(drawn[::2], int(np.ceil(np.log2(shards))), 4, np.random.default_rng(0))
+    dealt = slices(top, drawn[1::2], n, bits, residents, askers)
 
     def run(table):
-        fp, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(zero_copy_only=False)
-        everyone = np.concatenate([fp[home], fp[~home]])
-        found = np.array(near(fp[home], fp[~home], bits), dtype=np.int64).reshape(-1, 2)
+        fp, lives, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "lives", "asks"))
+        fp = fp.view(np.uint64)
+        everyone = np.concatenate([fp[lives], fp[~lives]])
+        asking = np.flatnonzero(np.concatenate([asks[lives], asks[~lives]]))
+        found = np.array(near(fp[lives], fp[~lives], bits, asking), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": everyone[found[:, 0]].view(np.int64), "b": everyone[found[:, 1]].view(np.int64)})
 
-    return _dealt(distinct, top, bits).groupBy("shard").applyInArrow(run, "a bigint, b bigint")
+    return _dealt(distinct, top, dealt, bits).groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:

@@ -85,6 +85,33 @@ def test_vantage_point_trees_find_every_pair(seed, n, bits):
     assert roots(edges, range(len(points))) == roots(near, range(len(points)))
 
 
+def test_slices_of_a_crowded_shard_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    crowd = rng.integers(0, 1 << 12, 300, dtype=np.uint64) << np.uint64(9)
+    points = np.unique(np.concatenate([crowd, rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
+    pairs = [(i, j) for i in range(len(points)) for j in range(i) if int(points[i] ^ points[j]).bit_count() <= 2]
+    distinct = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp bigint").repartition(3)
+    place = {int(p): k for k, p in enumerate(points.view(np.int64))}
+    for residents, askers in ((1 << 18, 1 << 20), (12, 50), (1 << 18, 7)):
+        found = simhash.links(distinct, 2, 64, residents, askers).collect()
+        assert roots([(place[r.a], place[r.b]) for r in found], range(len(points))) == roots(pairs, range(len(points)))
+
+
+def test_cells_are_bounded():
+    rng = np.random.default_rng(6)
+    points = rng.integers(0, 1 << 16, 30_000, dtype=np.uint64)
+    top = simhash.Tree(points[:2000], 6, 4, np.random.default_rng(0))
+    dealt = simhash.slices(top, points[2000:4000], len(points), 4, 400, 1500)
+    assert dealt.min() >= 1 and dealt[:, 0].max() > 1 and dealt[:, 1].max() > 1
+    for shard, i, at_home in simhash._visits(top, points, 4):
+        lives, asks = np.zeros(dealt[shard].prod(), dtype=int), np.zeros(dealt[shard].prod(), dtype=int)
+        for _, cell, here, asking in simhash._cells(points[i], at_home, *dealt[shard].tolist()):
+            np.add.at(lives, cell[here], 1)
+            np.add.at(asks, cell[asking], 1)
+        assert lives.max() <= 2 * 400 and asks.max() <= 2 * 1500
+        assert lives.sum() == at_home.sum() * dealt[shard, 1] and asks.sum() == len(i) * dealt[shard, 0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=70), min_size=1, max_size=6), st.sampled_from([40, 1 << 20]))
 def test_induced_sorting(strings, limit):

@@ -17,7 +17,8 @@ document with a smaller doc_id. Strings never cross documents.
 5. What was found goes back to the blocks, which cut their texts.
 
 A passage in a third of all documents reaches its bucket once for each block,
-not for each document; sorting works on disk beyond its memory budget.
+not for each document, and is held there once; sorting works on disk beyond its
+memory budget.
 
 Defined results: a null text is empty; repeated rows with one doc_id do not
 remove each other's bytes, since no id is smaller; a null doc_id counts as
@@ -156,11 +157,14 @@ def _packed(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _bucketed(keys: np.ndarray, n: int) -> list[np.ndarray]:
-    """Places of the keys of each bucket, in the order of the keys."""
+def _bucketed(keys: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """Each bucket that has keys, with their places in the order of the keys."""
+    if not len(keys):
+        return []
     bucket = ((keys >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return np.split(order, np.searchsorted(bucket[order], np.arange(1, n)))
+    edge = np.flatnonzero(np.diff(bucket[order])) + 1
+    return list(zip(bucket[order[np.concatenate([[0], edge])]].tolist(), np.split(order, edge), strict=True))
 
 
 def _anchors(blocks: DataFrame, n: int) -> DataFrame:
@@ -169,8 +173,7 @@ def _anchors(blocks: DataFrame, n: int) -> DataFrame:
             for r in _rows(b):
                 keys, more = Segments(_read(r["ids"], r["lens"])[1], _large(r["data"])).anchors()
                 parts = _bucketed(keys, n)
-                full = [k for k, p in enumerate(parts) if len(p)]
-                columns = [pa.array(full, type=pa.int32()), pa.array([r["block"]] * len(full), type=pa.int64()), pa.array([_packed(keys[parts[k]]) for k in full], type=pa.binary()), pa.array([np.packbits(more[parts[k]]).tobytes() for k in full], type=pa.binary())]
+                columns = [pa.array([k for k, _ in parts], type=pa.int32()), pa.array([r["block"]] * len(parts), type=pa.int64()), pa.array([_packed(keys[p]) for _, p in parts], type=pa.binary()), pa.array([np.packbits(more[p]).tobytes() for _, p in parts], type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "keys", "more"])
 
     return blocks.mapInArrow(run, "bucket int, block bigint, keys binary, more binary")
@@ -212,9 +215,8 @@ def _parts(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
             seg = Segments(lens, data)
             keys, _ = seg.anchors()
             hit = np.zeros(len(keys), dtype=bool)
-            parts = _bucketed(keys, n)
-            for k, p in enumerate(parts):
-                if len(p) and k in masks:
+            for k, p in _bucketed(keys, n):
+                if k in masks:
                     hit[p] = np.unpackbits(np.frombuffer(masks[k], dtype=np.uint8), count=len(p)).astype(bool)
             mine = np.flatnonzero(hit[np.searchsorted(keys, seg.key)]) if len(keys) else np.zeros(0, dtype=np.int64)
             touched = np.zeros(len(ids), dtype=bool)
@@ -229,10 +231,8 @@ def _parts(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 body = b"".join(data[starts[d] : starts[d] + lens[d]] for d in rest.tolist())
                 rows.append((1, r["block"], -1, ids[rest].tobytes(), lens[rest].tobytes(), _small(body)))
             renumbered = np.cumsum(touched) - 1
-            bucket = ((seg.key[mine] >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            mine, bucket = mine[order], bucket[order]
-            for part in np.split(mine, np.flatnonzero(np.diff(bucket)) + 1) if len(mine) else ():
+            for bucket, p in _bucketed(seg.key[mine], n):
+                part = mine[p]
                 number: dict[bytes, int] = {}
                 owner: list[int] = []
                 keys_of: list[int] = []
@@ -249,21 +249,26 @@ def _parts(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 there, doc = np.unique(seg.doc[part], return_inverse=True)
                 numbers = [np.array([len(number), len(part), len(there)]), np.array([len(s) for s in number]), np.array(keys_of, dtype=np.uint64).astype(np.uint32).view(np.int32), np.searchsorted(there, owner), which, doc, seg.first[part] - starts[seg.doc[part]], renumbered[there]]
                 packed = np.concatenate([x.astype(np.int32) for x in numbers]).tobytes()
-                rows.append((2, r["block"], int((keys_of[0] >> 16) % n), ids[there].tobytes(), _small(packed), _small(b"".join(number))))
+                rows.append((2, r["block"], bucket, ids[there].tobytes(), _small(packed), _small(b"".join(number))))
         return pa.Table.from_pydict({c: [row[k] for row in rows] for k, c in enumerate(names)}, schema=schema)
 
     return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, _PARTS)
 
 
 def _removed(parts: DataFrame) -> DataFrame:
-    """For each block the runs of places whose strings an earlier document holds: (document, first place, places)."""
+    """For each block the runs of places whose strings an earlier document holds: (document, first place, places).
 
-    def run(table):
+    A bucket is read in batches: of equal segments, however many blocks have them, one is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: dict[bytes, int] = {}
         owner: list[int] = []
         keys: list[int] = []
         local: list[tuple[np.ndarray, ...]] = []
-        for r in _rows(table.select(["ids", "lens", "data"]).combine_chunks()):
+        blocks: list[int] = []
+        for r in (r for b in batches for r in _rows(b)):
+            blocks.append(r["block"])
             ids, x = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(_large(r["lens"]), dtype=np.int32)
             m, k, t = x[:3].tolist()
             lens, key, by, which, doc, first, number = np.split(x[3:], np.cumsum([m, m, m, k, k, k]))
@@ -289,8 +294,8 @@ def _removed(parts: DataFrame) -> DataFrame:
         start = np.full(len(strings), -1, dtype=np.int64)
         start[several] = begin
         del strings, merged
-        out = []
-        for seg, doc, first, ids in local:
+        out: list[bytes] = []
+        for n, (seg, doc, first, ids) in enumerate(local, 1):
             whole = own[seg] < ids
             runs = [np.stack([doc[whole], first[whole], size[seg[whole]] - LENGTH + 1])]
             for k in np.flatnonzero(~whole & (start[seg] >= 0)).tolist():
@@ -300,9 +305,11 @@ def _removed(parts: DataFrame) -> DataFrame:
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                     runs.append(np.stack([np.full(len(edge) // 2, doc[k]), first[k] + edge[::2], edge[1::2] - edge[::2]]))
             out.append(_small(np.concatenate(runs, axis=1).astype(np.int64).tobytes()))
-        return pa.table({"block": table.column("block"), "runs": pa.array(out, type=pa.binary())})
+            if n == len(local) or len(out) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[n - len(out) : n], type=pa.int64()), pa.array(out, type=pa.binary())], ["block", "runs"])
+                out = []
 
-    return parts.where("kind = 2").groupBy("bucket").applyInArrow(run, "block bigint, runs binary")
+    return parts.where("kind = 2").select("bucket", "block", "ids", "lens", "data").groupBy("bucket").applyInArrow(run, "block bigint, runs binary")
 
 
 _OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"

@@ -160,6 +160,26 @@ def test_repeats(spark, docs, monkeypatch):
     assert sorted((r.doc_id is None, r.n_removed > 0) for r in twice) == [(False, False), (False, False), (True, True)]
 
 
+def test_repeats_over_many_small_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 400)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 100)
+    rng = random.Random(16)
+    passage = " ".join(words(rng, 30))
+    texts = [" ".join(words(rng, 30)) + (passage if k % 3 else "") for k in range(150)]
+    texts += [texts[k] for k in range(0, 150, 7)]
+    rows = {r.doc_id: r for r in suffix_dedup.repeats(docs(texts)).collect()}
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in rows.items()} == brute_repeats(list(enumerate(texts)))
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), unique=True), st.sampled_from([1, 24, 10**6]))
+def test_keys_by_bucket(keys, n):
+    keys = np.array(sorted(keys), dtype=np.uint64)
+    found = suffix_dedup._bucketed(keys, n)
+    assert [k for k, _ in found] == sorted({(int(x) >> 16) % n for x in keys})
+    assert all((int(x) >> 16) % n == k for k, p in found for x in keys[p]) and all((np.diff(p) > 0).all() for _, p in found)
+    assert sum(len(p) for _, p in found) == len(keys)
+
+
 def test_line_dedup(spark, docs):
     rng = random.Random(7)
     long = words(rng, 60)

@@ -52,7 +52,9 @@ def without_substrings(df: DataFrame, column: str, stems: DataFrame) -> DataFram
     """Rows in whose column no stem stands anywhere; nulls stay, and an empty stem stands in every text.
 
     Each different value is cut into its stretches of the lengths that stems have, and
-    these are joined with the stems by equality, so that no row meets all stems.
+    these are joined with the stems by equality, so that no row meets all stems. Both
+    sides grow with the input and Spark takes computed texts for short ones, so the
+    hints keep it from sending one of them through the driver.
     """
     s = stems.select(F.col(stems.columns[0]).alias("_stem")).where("_stem is not null").distinct()
     sizes = [r[0] for r in s.select(F.length("_stem").alias("n")).distinct().orderBy("n").limit(STEM_LENGTHS).collect()]
@@ -65,8 +67,8 @@ def without_substrings(df: DataFrame, column: str, stems: DataFrame) -> DataFram
     place = lambda n: F.transform(F.sequence(F.lit(1), F.length("_value") - n + 1), lambda i: F.substring(F.col("_value"), i, F.lit(n)))
     parts = [F.when(F.length("_value") >= n, place(n)).otherwise(F.array().cast("array<string>")) for n in sizes]
     cut = values.select("_value", F.explode(F.array_distinct(F.concat(*parts))).alias("_part"))
-    hit = cut.join(s, "_part").where(F.col("_value").contains(F.col("_stem"))).select("_value").distinct()
-    return df.join(hit, F.col(column) == F.col("_value"), "left_anti")
+    hit = cut.join(s.hint("merge"), "_part").where(F.col("_value").contains(F.col("_stem"))).select("_value").distinct()
+    return df.join(hit.hint("merge"), F.col(column) == F.col("_value"), "left_anti")
 
 
 def aligned(keys: DataFrame, key: str, meta: DataFrame, meta_key: str) -> DataFrame:

@@ -360,3 +360,13 @@ def test_tests_come_by_corrected_p(spark):
     rows = [("a", 1.0, 1.0, 10, 1), ("b", 9.0, 1.0, 10, 1), ("c", 5.0, 1.0, 10, 1), ("r", 5.0, 1.0, 50, 2)]
     out = testing.z_tests(spark.createDataFrame(rows, "g string, m double, s double, n bigint, k int"), "g", "m", "s", "n", "k").collect()
     assert [r.g for r in out] in (["a", "b", "c"], ["b", "a", "c"]) and [r.p_bonferroni for r in out] == sorted(r.p_bonferroni for r in out)
+
+
+def test_substrings_send_nothing_whole_through_the_driver(spark):
+    """Stems and values grow with the input: neither side may be broadcast, however short Spark takes it to be."""
+    from cohortloom.plans import queries as plans
+
+    for name in ("substring_anti", "accession_collect"):
+        df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df.count() > 0
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -1,16 +1,19 @@
-"""Near copies of whole documents by the Jaccard similarity of their word shingles.
+"""Near copies of whole documents: SimHash fingerprints, then the Jaccard similarity of their word shingles.
 
-1. Every text becomes the set of hashes of its five-word shingles. Equal sets
+1. Every text gets its SimHash fingerprint, and fingerprints are linked within
+   ``simhash.BITS`` bits by vantage-point trees (``simhash.links``). Texts of one
+   component of fingerprints are candidates.
+2. Every text becomes the set of hashes of its five-word shingles. Equal sets
    collapse; from here on each one counts once.
-2. A set gives ``BANDS * ROWS`` minimum hashes; sets that share a band are
-   candidates. At a similarity of 0.8 a pair shares one of 24 bands of 4 with
+3. A set gives ``BANDS * ROWS`` minimum hashes; sets that share a band are
+   candidates too. At a similarity of 0.8 a pair shares one of 24 bands of 4 with
    probability 0.999997, and unrelated texts hardly ever do, whatever single
    stretches they have in common.
-3. Candidates are verified by exact Jaccard similarity and linked as lines are
+4. Candidates are verified by exact Jaccard similarity and linked as lines are
    (``linking``).
 
-SimHash can't do this: a pair at similarity 0.8 differs in 7 to 12 bits or more,
-and at the radius that this takes trees over fingerprints no longer prune.
+Bands come beside the fingerprints since a pair at similarity 0.8 differs in 7 to
+12 bits or more, and at the radius that this takes trees no longer prune.
 
 Defined results: a text of fewer than ``SHINGLE`` words is one shingle, a null or
 empty one a shingle without words; rows with one doc_id count as one document; a
@@ -26,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .components import components
 from .linking import Linker
-from .simhash import BLOCK, _hash
+from .simhash import BITS, BLOCK, _hash, fingerprint, links
 from .workspace import Workspace, free_names
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 24, 4, 0.8
@@ -58,30 +62,42 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def _mapped(docs: DataFrame, inner: str, schema: str) -> DataFrame:
-    """``doc_id``, ``id`` (a hash of the whole set) and either the band keys or the set of each text."""
+    """``doc_id``, ``id`` (a hash of the whole set) and of each text either the band keys and the fingerprint, or the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                ids, lists = [], []
+                ids, lists, prints = [], [], []
                 for x in part.column(1):
-                    own = shingles(x.as_buffer().to_pybytes() if x.is_valid else None)
+                    text = x.as_buffer().to_pybytes() if x.is_valid else None
+                    own = shingles(text)
                     ids.append(_hash(own.tobytes()))
                     lists.append((bands(own) if inner == "keys" else own).view(np.int64))
+                    if inner == "keys":
+                        prints.append(fingerprint(text))
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), values], ["doc_id", "id", inner])
+                numbers = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in ([ids, prints] if inner == "keys" else [ids])]
+                yield pa.RecordBatch.from_arrays([part.column(0), numbers[0], values, *numbers[1:]], ["doc_id", "id", inner, *["fp"][: len(numbers) - 1]])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def fingerprinted(prints: DataFrame, space: Workspace, bits: int = BITS) -> DataFrame:
+    """(``id``, ``keys``): a key for each component of fingerprints that texts of a set lie in."""
+    distinct = space.save(prints.select("fp").distinct(), "fingerprints")
+    found = components(space.save(links(distinct, bits), "fingerprint-links", grouped=True), space, "fingerprint-stars")
+    pairs = prints.select("id", "fp").distinct().join(found.select(F.col("id").alias("fp"), "component"), "fp", "left")
+    return pairs.select("id", F.array(F.xxhash64(F.lit("fingerprint"), F.coalesce("component", "fp"))).alias("keys")).distinct()
+
+
 def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(``doc_id``, ``component_id``) for each row of ``docs``."""
     space = Workspace(docs.sparkSession)
     (first,) = free_names(docs, "first")
     kind = dict(docs.dtypes)["doc_id"]
-    prints = space.save(_mapped(docs, "keys", f"doc_id {kind}, id bigint, keys array<bigint>"), "prints")
+    prints = space.save(_mapped(docs, "keys", f"doc_id {kind}, id bigint, keys array<bigint>, fp bigint"), "prints")
     distinct = space.save(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "distinct")
 
     def held(ids: DataFrame) -> DataFrame:
@@ -91,7 +107,8 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         return _mapped(texts, "s", f"doc_id {kind}, id bigint, s array<bigint>").select("id", F.col("s").alias("held")).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     shingles_of = lambda held: held.select("id", F.explode("held").alias("x"))
-    found = Linker(space, held, shingles_of, lambda s: s, similar)(distinct.select("id", "keys"))
+    signed = fingerprinted(prints, space).unionByName(distinct.select("id", "keys"))
+    found = Linker(space, held, shingles_of, lambda s: s, similar)(signed)
     named = distinct.join(found, "id", "left").select("id", "first", F.coalesce("component", "id").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     named = space.save(named.join(least, "c").select("id", "component_id"), "named")

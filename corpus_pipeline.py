@@ -20,7 +20,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: candidates by SimHash fingerprints and bands, whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     from cohortloom.llm import near_copies
 
     return near_copies.near_dedup(docs)

@@ -418,6 +418,20 @@ def test_near_dedup_stage_equals_brute_force(spark, docs):
     assert sorted((r.doc_id is None, r.text) for r in corpus_pipeline.near_dedup(spark, docs(odd), "").select("doc_id", "text").collect()) == sorted((r.doc_id is None, r.text) for r in simhash.near_dedup(docs(odd)).select("doc_id", "text").collect())
 
 
+def test_near_dedup_stage_links_fingerprints(spark, docs, monkeypatch):
+    """Texts with near fingerprints are candidates by these alone, verified by their shingles."""
+    from cohortloom.llm import near_copies
+
+    rng = random.Random(31)
+    long = words(rng, 400)
+    texts = [" ".join(long), " ".join([*long[:399], "end"]), " ".join(words(rng, 400)), "", None]
+    monkeypatch.setattr(near_copies, "bands", lambda own: np.zeros(0, dtype=np.uint64))
+    assert bin(simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).count("1") <= simhash.BITS
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(texts)).collect()}
+    ids = sorted(found)
+    assert [found[i] for i in ids] == [ids[0], ids[0], ids[2], ids[3], ids[3]]
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     rng = random.Random(12)
     clean = [" ".join(w + ("." if k % 9 == 8 else "") for k, w in enumerate(words(rng, 60))) for _ in range(50)]

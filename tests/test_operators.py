@@ -370,3 +370,16 @@ def test_substrings_send_nothing_whole_through_the_driver(spark):
         df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.count() > 0
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_presence_is_dealt_by_rows(spark, monkeypatch):
+    """The rows that one task spells out and makes distinct don't grow with the table."""
+    from cohortloom.plans import adapters
+
+    whole = adapters.adapted(spark, "/root/testdata/sf0.001", "presence")
+    monkeypatch.setitem(adapters.DEALT, "presence", ("lineitem", 500))
+    dealt = adapters.adapted(spark, "/root/testdata/sf0.001", "presence")
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert dealt.rdd.getNumPartitions() == 1 + n // 500 and max(sizes) < n
+    assert dealt.exceptAll(whole).count() == whole.exceptAll(dealt).count() == 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from cohortloom.llm import components, decontam, line_dedup, packing, simhash, suffix_dedup, suffix_sort
+from cohortloom.llm import components, decontam, line_dedup, linking, packing, simhash, suffix_dedup, suffix_sort
 from cohortloom.llm.linking import Linker
 from cohortloom.llm.workspace import Workspace
 
@@ -267,6 +268,54 @@ def test_line_dedup_keeps_unlike_lines_without_spaces(spark, docs):
     assert {r.doc_id for r in line_dedup.line_report(docs(lines)).collect() if r.n_removed} == {11}
 
 
+def test_sets_of_a_pair_are_made_once(spark):
+    """Each side's shingles are hashed in one place of the plan, and the work on a long line is linear."""
+    from pyspark.sql import functions as F
+
+    pairs, held = spark.createDataFrame([(1, 2)], "a bigint, b bigint"), spark.createDataFrame([(1, "a" * 20), (2, "a" * 21)], "id bigint, line string").select("id", line_dedup._units(F.col("line")).alias("held"))
+    found = linking._similar(pairs, held, line_dedup._set, 0.8)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 2
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    rng, began = random.Random(21), time.monotonic()
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    (n,) = spark.createDataFrame([(line,)], "line string").select(F.size(line_dedup._set(line_dedup._units(F.col("line"))))).first()
+    assert n == len(shingled(line)) and time.monotonic() - began < 15
+
+
+def test_line_report_shuffles_no_texts(spark, docs):
+    out = line_dedup.line_report(docs(["one line\nother line", "one line"]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join LeftOuter") :].split("\n")[1]
+    assert "here" in left and "text#" not in left.split("AS")[-1]
+    assert sorted(map(tuple, out.collect())) == [(0, 2, 0, []), (1, 1, 1, [0])]
+
+
+def test_linking_within_small_keys(spark):
+    """Keys with few members give all their pairs, and larger ones beside them lose none."""
+    from pyspark.sql import functions as F
+
+    rng, sets, keys = random.Random(17), [], []
+    for g in range(14):
+        base = [1000 * g + x for x in range(100)]
+        for k in range(40 if g == 5 else 11):
+            s = set(base)
+            for _ in range(rng.choice([4, 9, 10, 11, 12])):
+                s.discard(rng.choice(base))
+                s.add(100_000 + 1000 * g + 50 * k + rng.randrange(50))
+            sets.append({x * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for x in s})
+            keys.append(g)
+    expected = roots(similar_pairs(sets), range(len(sets)))
+    assert 14 < len(set(expected.values())) < len(sets) - 20
+    table = spark.createDataFrame([(k, keys[k], sorted(s)) for k, s in enumerate(sets)], "id bigint, key bigint, held array<bigint>")
+    saved = []
+    space = Workspace(spark)
+    save = space.save
+    space.save = lambda df, name, *a, **k: saved.append(name) or save(df, name, *a, **k)
+    linker = Linker(space, lambda ids: table.select("id", "held").join(ids, "id", "left_semi"), lambda h: h.select("id", F.explode("held").alias("x")), lambda c: c, 0.8)
+    found = {r.id: r.component for r in linker(table.select("id", F.array("key").alias("keys")), (1,)).collect()}
+    assert {k: found.get(k, k) for k in range(len(sets))} == expected and {"few", "pairs"} <= set(saved)
+
+
 def test_line_dedup_of_rows_that_share_an_id(spark, docs):
     rows = [(1, "same line here\nfirst text"), (2, "same line here\nother"), (2, "alone\nsame line here"), (None, "no id one\nsame line here"), (None, "not a copy\nno id two")]
     out = sorted((r.doc_id is None, r.text) for r in line_dedup.line_dedup(docs(rows)).collect())

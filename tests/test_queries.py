@@ -53,3 +53,15 @@ def test_native_plans_run_no_python(spark):
     for name in ("mic_parse", "antibiogram", "stratified_sample", "split_70_10_20"):
         plan = plans.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan, name
+
+
+def test_measurements_of_more_decimals_than_they_keep(spark, tmp_path):
+    """Doubles become cents as DuckDB's cast makes them: halves away from zero, of the product with 100."""
+    values = [k / 1000 for k in range(-3000, 6000)] + [k + 0.005 for k in range(2000)] + [k / 8 for k in range(2000)] + [0.0, -0.0, 0.004999999999999999, 1e-9, 123456.785, 99999999.99]
+    rows = [(k, None, k % 977, "view", float(v), "") for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as c:
+        c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+        for name in ("mic_parse", "mic_rejects"):
+            found = sorted(tuple(map(shown, r)) for r in plans.QUERIES[name](spark, str(tmp_path)).collect())
+            assert found and found == sorted(tuple(map(shown, r)) for r in c.execute(plans.ORACLE_SQL[name]).fetchall())

@@ -290,6 +290,32 @@ def test_line_report_shuffles_no_texts(spark, docs):
     assert sorted(map(tuple, out.collect())) == [(0, 2, 0, []), (1, 1, 1, [0])]
 
 
+def test_texts_travel_of_few_lines(spark, docs, monkeypatch):
+    """Of lines without candidates hardly any reach the join that fetches texts; all others do."""
+    met = []
+
+    def sieved(rows, wanted, hash):
+        out = linking.sieved(rows, wanted, hash)
+        met.append((rows.count(), out.count(), wanted.select(hash).distinct().join(rows, hash).count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "sieved", sieved)
+    rng = random.Random(11)
+    lines = [" ".join(words(rng, 12)) for _ in range(4000)]
+    lines += [x + " more" for x in lines[:40]]
+    assert sum(r.n_removed for r in line_dedup.line_report(docs(lines)).collect()) >= 36
+    assert len(met) == 2 and all(wanted <= kept <= wanted + 200 < rows for rows, kept, wanted in met), met
+
+
+def test_names_between_rounds(spark):
+    """What has one name is of one component; a star has one name, whichever id is in its middle."""
+    from pyspark.sql import functions as F
+
+    edges = spark.createDataFrame([(5, k) for k in range(1, 5)] + [(5, 9), (20, 21), (21, 22), (22, 23), (23, 24)], "a bigint, b bigint").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    got = {r.id: r.component for r in linking._nearby(edges).collect()}
+    assert {got[k] for k in (1, 2, 3, 4, 5, 9)} == {1} and {got[k] for k in range(20, 25)} == {20, 21, 22} and linking._nearby(edges.limit(0)).count() == 0
+
+
 def test_linking_within_small_keys(spark):
     """Keys with few members give all their pairs, and larger ones beside them lose none."""
     from pyspark.sql import functions as F
